@@ -11,7 +11,12 @@ from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .mixing import mix_taken
 from .quality import score_quality
+from .sentencepiece_scan import encode_documents
 from .toxicity import grade_toxicity
+from .vector_dedup import vector_components
+
+#: The public BPE model file; every executor has it at this path.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +31,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(spark, _table(spark, sf_dir, "documents"), PIECE_MODEL, keep_ids=False)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, _table(spark, sf_dir, "pages"))
 
@@ -49,7 +62,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_url_filters": op7_url_filters,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_classifier": op9_quality_classifier,
