@@ -12,6 +12,7 @@ from .language_id import identify_languages
 from .mixing import mix_taken
 from .quality import score_quality
 from .sentencepiece_scan import encode_documents
+from .substring_dedup import repeated_passages
 from .toxicity import grade_toxicity
 from .vector_dedup import vector_components
 
@@ -35,6 +36,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(spark, _table(spark, sf_dir, "embeddings"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark, _table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_url_filters": op7_url_filters,
