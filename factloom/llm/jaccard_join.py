@@ -96,7 +96,7 @@ def _regions(scratch: Scratch, docs: DataFrame, size: int, num: int, den: int) -
     """(fp, n, regions): for each class that may have a link, the pivots whose regions it is in, nearest first."""
     low = _lowest(docs, size, num, den)
     shared = scratch.save(low.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other")).where("pivot <> other").select("key", "pivot"))
-    met = low.join(maybe_broadcast(shared, 40), "key").groupBy("fp", "n", "pivot", "key").agg(F.lit(1).alias("one")).groupBy("fp", "n", "pivot").agg(F.count("*").alias("c"))
+    met = low.join(shared, "key").groupBy("fp", "n", "pivot", "key").agg(F.lit(1).alias("one")).groupBy("fp", "n", "pivot").agg(F.count("*").alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
