@@ -131,7 +131,7 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     order = np.argsort(col, kind="stable")
     own, col = own[order], col[order]
     out = np.zeros((len(a), len(b)), np.float32)
-    wide = max(256, 8_000_000 // max(1, len(rows)))
+    wide = min(max(256, 8_000_000 // max(1, len(rows))), max(1, int(shared.sum())))
     for first in range(0, int(shared.sum()), wide):
         lo, hi = np.searchsorted(col, [first, first + wide])
         hit = np.zeros((len(rows), wide), np.float32)
