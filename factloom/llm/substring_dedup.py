@@ -9,7 +9,7 @@ window (l, c, r): all runs inside [l, r] that hold position c share its token as
    fingerprint becomes the signature's pivot, so a passage of thousands of documents makes a star, not all pairs.
 2. The windows of a document that meet a pivot are joined as intervals: where windows of at least ``ENOUGH`` functions
    overlap there may be a passage, and the document and those windows' pivots are candidates.
-3. Candidates are verified on the tokens themselves: the positions of one document whose token the other one has, gaps
+3. Candidates are verified on the tokens themselves (32 bits of each, around the windows): the positions of one document whose token the other one has, gaps
    of up to ``GAP`` closed, make a passage if it has at least ``WORDS`` words and ``SHARE`` of its tokens are common.
 
 Documents of equal words are one point; what repeats in copies is the whole text.
@@ -49,46 +49,58 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(x) - width + 1], have[width - span : width - span + len(x) - width + 1])
 
 
-def compact_windows(tokens: np.ndarray, least: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, l, c, r), r inclusive, of the compact windows of ``tokens`` that are at least ``least`` wide.
+def compact_windows(documents: list[np.ndarray], least: int, seed: np.uint64) -> tuple[np.ndarray, ...]:
+    """(document, signature, l, c, r, from, to) of the compact windows of ``documents`` that are at least ``least`` wide.
 
-    Equal values count as smaller to the left, so the windows of a repeated token split as in a Cartesian tree.
+    ``r`` is inclusive; from and to (inclusive) bound the runs of ``least`` tokens that have the signature, which is more
+    than those around c where the token repeats.
+
+    All documents (none shorter than ``least``) are scanned as one array.  A token is the minimum of some run of ``least`` tokens
+    exactly if its compact window is that wide, so the sliding minima name the tokens and the Cartesian tree over
+    them gives the windows' ends.  Of equal values the left one counts as smaller.
     """
+    tokens = np.concatenate(documents)
+    ends = np.cumsum([len(d) for d in documents])
+    begins = ends - [len(d) for d in documents]
     with np.errstate(over="ignore"):
         h = K.mix(tokens ^ seed)
     low = sliding_min(h, least)
-    if not len(low):
-        none = np.zeros(0, np.int64)
-        return none.astype(K.U64), none, none, none
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    last = np.concatenate([first[1:], [len(low)]]) - 1
-    value = low[first]
-    # where in the runs' windows the minimum is: leftmost position at or after the last window's start
+    owner = np.repeat(np.arange(len(documents)), ends - begins)[: len(low)]
+    inside = np.arange(len(low)) + least <= ends[owner]  # runs that end in the document in which they begin
+    new = inside.copy()
+    new[1:] &= ~(inside[:-1] & (low[1:] == low[:-1]))
+    first = np.flatnonzero(new)
+    over = inside.copy()
+    over[:-1] &= ~(inside[1:] & (low[1:] == low[:-1]))
+    last = np.flatnonzero(over)
+    value, owner = low[first], owner[first]
+    # where the minimum is: the leftmost place at or after the last run's beginning
     where = np.full(len(first), -1)
     todo = np.arange(len(first))
     for d in range(least):
-        at = np.minimum(last[todo] + d, len(h) - 1)
-        hit = h[at] == value[todo]
-        where[todo[hit]] = at[hit]
+        hit = h[last[todo] + d] == value[todo]
+        where[todo[hit]] = last[todo[hit]] + d
         todo = todo[~hit]
         if not len(todo):
             break
     # the Cartesian tree over the minima: nearest smaller one on either side
-    left, right = np.zeros(len(first), np.int64), np.full(len(first), len(h) - 1)
+    left, right = begins[owner].tolist(), (ends[owner] - 1).tolist()
     stack: list[int] = []
-    values, places = value.tolist(), where.tolist()
+    values, places, homes = value.tolist(), where.tolist(), owner.tolist()
     for i, v in enumerate(values):
+        if stack and homes[stack[-1]] != homes[i]:
+            stack.clear()
         while stack and values[stack[-1]] > v:
             right[stack.pop()] = places[i] - 1
         if stack:
             left[i] = places[stack[-1]] + 1
         stack.append(i)
-    # a smaller token nearer than any minimum ends a window that was not cut off at ``least``
-    near = where - first < least - 1
-    left = np.where(near, np.maximum(left, first), left)
-    near = last < where
-    right = np.where(near, np.minimum(right, last + least - 1), right)
-    return value, left, where, right
+    # a smaller token nearer than any minimum ends a window that ``least`` did not cut off
+    left, right = np.array(left, np.int64), np.array(right, np.int64)
+    left = np.where(where - first < least - 1, np.maximum(left, first), left)
+    right = np.where(last < where, np.minimum(right, last + least - 1), right)
+    base = begins[owner]
+    return owner, value, left - base, where - base, right - base, first - base, last + least - 1 - base
 
 
 def _tokens(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -99,6 +111,26 @@ def _tokens(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np.ndar
         yield grams[a : max(a, b - shingle + 1)]
 
 
+def _signatures(documents: list[np.ndarray], names: np.ndarray, least: int) -> pa.RecordBatch:
+    """(key, fp): the distinct signatures of each document."""
+    ends = np.cumsum([len(d) for d in documents])
+    tokens, owner = np.concatenate(documents), np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    keys, owners = [], []
+    for seed in _SEEDS:
+        with np.errstate(over="ignore"):
+            low = sliding_min(K.mix(tokens ^ seed), least)
+            keep = np.arange(len(low)) + least <= ends[owner[: len(low)]]
+            keep[1:] &= ~(keep[:-1] & (low[1:] == low[:-1]))
+            keys.append(K.mix(low[keep] + seed))
+        owners.append(owner[: len(low)][keep])
+    key, own = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    return pa.record_batch({"key": key[new].view(np.int64), "fp": names[own[new]]})
+
+
 def name_tokens(tokens: np.ndarray) -> int:
     """A 64-bit name of a token sequence."""
     with np.errstate(over="ignore"):
@@ -124,40 +156,54 @@ def common_passages(tokens: np.ndarray, other: np.ndarray, shingle: int, words:
     return np.concatenate(begins), np.concatenate(ends)
 
 
-def interval_join(left: np.ndarray, right: np.ndarray, which: np.ndarray, pivot: np.ndarray, enough: int) -> set[int]:
-    """The pivots of windows that overlap windows of ``enough`` hash functions in all, their own included.
+def interval_join(left: np.ndarray, right: np.ndarray, which: np.ndarray, pivot: np.ndarray, enough: int) -> dict[int, list[list[int]]]:
+    """For each pivot of windows that overlap windows of ``enough`` hash functions in all, the stretches of such windows.
 
     A sweep over the windows' left ends; ``which`` is a window's hash function.  Functions count whatever their pivots
     are: a passage's signatures can have different ones, where other documents hold parts of it.
     """
     order = np.lexsort((right, left))
     left, right, which, pivot = (x[order].tolist() for x in (left, right, which, pivot))
-    found: set[int] = set()
+    good: set[int] = set()
     open_: list[int] = []
     for i in range(len(left)):
         open_ = [j for j in open_ if right[j] >= left[i]]
         open_.append(i)
         if len({which[j] for j in open_}) >= enough:
-            found.update(pivot[j] for j in open_)
+            good.update(open_)
+    found: dict[int, list[list[int]]] = {}
+    stretch: list[int] = []
+    pivots: set[int] = set()
+    for i in [*sorted(good), -1]:
+        if stretch and (i < 0 or left[i] > stretch[1] + WORDS):
+            for p in pivots:  # a pivot may hold more of a stretch than the windows that met it
+                found.setdefault(p, []).append(stretch)
+            stretch, pivots = [], set()
+        if i >= 0:
+            stretch = [stretch[0], max(stretch[1], right[i])] if stretch else [left[i], right[i]]
+            pivots.add(pivot[i])
     return found
 
 
 def _verify(table: pa.Table, shingle: int, words: int, gap: int, share: float) -> Iterator[pa.RecordBatch]:
     """The passages of the members of one star (a block of it), and the pivot's own, each passage once."""
     star = table.column("star")[0].as_py()
-    fp = table.column("fp").to_pylist()
+    fp, base = table.column("fp").to_pylist(), table.column("base").to_pylist()
     grams = table.column("tokens").combine_chunks()
-    at, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
-    rows = {f: flat[at[i] : at[i + 1]] for i, f in enumerate(fp)}
-    pivot = rows.pop(star, None)
+    at, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+    pieces = [(f, b, flat[at[i] : at[i + 1]]) for i, (f, b) in enumerate(zip(fp, base))]
+    pivot = next((t for f, _, t in pieces if f == star), None)
     if pivot is None:
         return
     ordered = np.unique(pivot)
-    out: list[tuple[int, int, int]] = []
-    for f, tokens in rows.items():
-        out += [(f, int(a), int(b)) for a, b in zip(*common_passages(tokens, ordered, shingle, words, gap, share))]
-        out += [(star, int(a), int(b)) for a, b in zip(*common_passages(pivot, np.unique(tokens), shingle, words, gap, share))]
-    found = sorted(set(out))
+    out: set[tuple[int, int, int]] = set()
+    for f, b, tokens in pieces:
+        if f != star:
+            mine = [(f, int(x) + b, int(y) + b) for x, y in zip(*common_passages(tokens, ordered, shingle, words, gap, share))]
+            if mine:
+                out.update(mine)
+                out.update((star, int(x), int(y)) for x, y in zip(*common_passages(pivot, np.unique(tokens), shingle, words, gap, share)))
+    found = sorted(out)
     if found:
         yield pa.record_batch({"fp": pa.array([x[0] for x in found], pa.int64()), "start": pa.array([x[1] for x in found], pa.int32()), "end": pa.array([x[2] for x in found], pa.int32())})
 
@@ -186,58 +232,55 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         for batch in batches:
             seen: set[int] = set()
             for _, _, data, off in K.slices(batch.column(0)):
-                keys, names = [], []
+                kept, names = [], []
                 for tokens in _tokens(data, off, shingle):
-                    if len(tokens) < least or (fp := name_tokens(tokens)) in seen:
-                        continue
-                    seen.add(fp)
-                    low = [sliding_min(K.mix(tokens ^ seed), least) for seed in _SEEDS]
-                    key = np.unique(np.concatenate([K.mix(x[np.concatenate([[True], x[1:] != x[:-1]])] + seed) for x, seed in zip(low, _SEEDS)]))
-                    keys.append(key)
-                    names.append(fp)
-                if keys:
-                    yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "fp": np.repeat(np.array(names, np.int64), [len(k) for k in keys])})
+                    if len(tokens) >= least and (fp := name_tokens(tokens)) not in seen:
+                        seen.add(fp)
+                        kept.append(tokens)
+                        names.append(fp)
+                if kept:
+                    yield _signatures(kept, np.array(names, np.int64), least)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             for _, _, data, off in K.slices(batch.column(0)):
-                parts: list[list[np.ndarray]] = [[], [], [], [], []]
+                kept, names = [], []
                 for tokens in _tokens(data, off, shingle):
-                    if len(tokens) < least or (fp := name_tokens(tokens)) in seen:
-                        continue
-                    seen.add(fp)
-                    for j, seed in enumerate(_SEEDS):
-                        value, left, _, right = compact_windows(tokens, least, seed)
-                        for to, x in zip(parts, (K.mix(value + seed).view(np.int64), np.full(len(value), fp, np.int64), np.full(len(value), j, np.int32), left.astype(np.int32), right.astype(np.int32))):
-                            to.append(x)
-                if parts[0]:
-                    yield pa.record_batch({n: np.concatenate(p) for n, p in zip(("key", "fp", "j", "l", "r"), parts)})
+                    if len(tokens) >= least and (fp := name_tokens(tokens)) not in seen:
+                        seen.add(fp)
+                        kept.append(tokens)
+                        names.append(fp)
+                for j, seed in enumerate(_SEEDS if kept else ()):
+                    owner, value, _, _, _, left, right = compact_windows(kept, least, seed)
+                    with np.errstate(over="ignore"):
+                        key = K.mix(value + seed).view(np.int64)
+                    yield pa.record_batch({"key": key, "fp": np.array(names, np.int64)[owner], "j": np.full(len(key), j, np.int8), "l": left.astype(np.int32), "r": right.astype(np.int32)})
 
     rows = scratch.save(named.mapInArrow(points, f"id {named.dtypes[0][1]}, n int, fp long"))
     sizes = scratch.save(rows.where(F.col("n") >= words).groupBy("fp").agg(F.count("*").alias("weight"), F.max("n").alias("n"), F.min("id").alias("least")))
     keys = named.select("text").mapInArrow(signatures, "key long, fp long").groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other"))
     keys = scratch.save(keys.where("pivot <> other").select("key", "pivot"))
-    met = scratch.save(named.select("text").mapInArrow(windows, "key long, fp long, j int, l int, r int").join(keys, "key"))
+    met = scratch.save(named.select("text").mapInArrow(windows, "key long, fp long, j byte, l int, r int").join(keys, "key"))
     # all windows of a document that met a pivot: boundedly many, by its text
     mine = met.where("fp <> pivot").groupBy("fp").agg(F.collect_list(F.struct("j", "l", "r", "pivot")).alias("w"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, pivots = [], []
+            out: list[dict] = []
             lists = batch.column(1)
             for i, fp in enumerate(batch.column(0).to_pylist()):
                 j, left, right, pivot = (lists[i].values.field(k).to_numpy() for k in range(4))
-                found = interval_join(left, right, j, pivot, enough)
-                fps += [fp] * len(found)
-                pivots += sorted(found)
-            yield pa.record_batch({"fp": pa.array(fps, pa.int64()), "pivot": pa.array(pivots, pa.int64())})
+                for p, spans in interval_join(left, right, j, pivot, enough).items():
+                    out.append({"fp": fp, "pivot": p, "lo": [max(0, x - words) for x, _ in spans], "hi": [y + words + 1 for _, y in spans]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("fp", pa.int64()), ("pivot", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))]))
 
-    pairs = scratch.save(mine.mapInArrow(candidates, "fp long, pivot long"))
+    pairs = scratch.save(mine.mapInArrow(candidates, "fp long, pivot long, lo array<int>, hi array<int>"))
     stars = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     stars = scratch.save(stars)
-    members = pairs.join(maybe_broadcast(stars, 40), "pivot").select("fp", F.col("pivot").alias("star"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("part"))
-    centres = stars.select(F.col("pivot").alias("fp"), F.col("pivot").alias("star"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    members = pairs.join(maybe_broadcast(stars, 40), "pivot").select("fp", F.col("pivot").alias("star"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("part"), "lo", "hi")
+    whole = F.array(F.lit(0)).alias("lo"), F.array(F.lit(2**31 - 1)).alias("hi")
+    centres = stars.select(F.col("pivot").alias("fp"), F.col("pivot").alias("star"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *whole)
     seats = scratch.save(members.unionByName(centres).withColumn("task", F.xxhash64("star", "part")))
     wanted = sizes.join(seats.select("fp").distinct(), "fp", "left_semi")
     wanted = scratch.save(wanted.select(F.col("least").alias("id"), "fp"))
@@ -248,15 +291,28 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
                 found = [t for t in _tokens(data, off, shingle) if len(t)]
                 if found:
                     at = np.concatenate([[0], np.cumsum([len(t) for t in found])]).astype(np.int32)
-                    yield pa.record_batch({"fp": pa.array([name_tokens(t) for t in found], pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found).view(np.int64)))})
+                    yield pa.record_batch({"fp": pa.array([name_tokens(t) for t in found], pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array(at), pa.array((np.concatenate(found) >> np.uint64(32)).astype(np.uint32).view(np.int32)))})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # only the parts of a text around its candidates travel to the star
+        for batch in batches:
+            los, his, tokens = (batch.column(i).to_pylist() if i < 5 else batch.column(i) for i in (3, 4, 5))
+            at, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in los])
+            base = np.array([x for lo in los for x in lo], np.int64)
+            end = np.minimum([x for hi in his for x in hi], np.diff(at)[row])
+            pieces = [flat[at[r] + a : at[r] + b] for r, a, b in zip(row.tolist(), base.tolist(), end.tolist())]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int32)
+            yield pa.record_batch({"task": batch.column(1).take(pa.array(row)), "star": batch.column(2).take(pa.array(row)), "fp": batch.column(0).take(pa.array(row)), "base": pa.array(base, pa.int32()), "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*pieces, np.zeros(0, np.int32)])))})
 
     texts = named.join(maybe_broadcast(wanted.select("id").distinct(), 24), "id", "left_semi").unionByName(named.where("id is null"))
-    tokens = texts.select("text").mapInArrow(tokens_of, "fp long, tokens array<long>").dropDuplicates(["fp"])
+    tokens = texts.select("text").mapInArrow(tokens_of, "fp long, tokens array<int>").dropDuplicates(["fp"])
 
     def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
         return _verify(table, shingle, words, gap, share)
 
-    found = map_groups(seats.join(tokens, "fp"), "task", verify, "fp long, start int, end int").distinct()
+    parts = seats.join(tokens, "fp").select("fp", "task", "star", "lo", "hi", "tokens").mapInArrow(cut, "task long, star long, fp long, base int, tokens array<int>")
+    found = map_groups(parts, "task", verify, "fp long, start int, end int").distinct()
     copies = sizes.where("weight > 1").select("fp", F.lit(0).alias("start"), F.col("n").alias("end"))
     spans = found.unionByName(copies).groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     # overlapping passages of a text become one
