@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows times its row width stay under this many bytes.
 BROADCAST_BYTES = 32_000_000
+#: Rows of text or of token lists are large: so many of them go to a Python worker at once.
+ARROW_ROWS = "1000"
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,7 +54,12 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.mode("overwrite").parquet(path)
+        usual = self.spark.conf.get(_ARROW)
+        self.spark.conf.set(_ARROW, usual if 0 < int(usual) < int(ARROW_ROWS) else ARROW_ROWS)
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_ARROW, usual)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

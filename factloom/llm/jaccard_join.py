@@ -35,6 +35,7 @@ from .common import Scratch, components, map_groups, maybe_broadcast
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked: DEN * intersection >= NUM * union
+REMEMBERED = 20_000  # sets that a task remembers in order not to give a copy's shingles again
 EXTRA = 0.12  # l as a share of the set: more pivots' evidence for a longer look
 
 
@@ -71,11 +72,13 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _lowest(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(key, fp) for the lowest shingles of every row; equal sets of one batch give them once."""
+    """(key, fp) for the lowest shingles of every row; equal sets that follow each other in a task give them once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for _, _, data, off in K.slices(batch.column(0)):
                 keys, names, sizes = [], [], []
                 for grams in K.row_shingles(data, off, size):
@@ -131,7 +134,7 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     order = np.argsort(col, kind="stable")
     own, col = own[order], col[order]
     out = np.zeros((len(a), len(b)), np.float32)
-    wide = min(max(256, 8_000_000 // max(1, len(rows))), max(1, int(shared.sum())))
+    wide = min(max(256, 2_000_000 // max(1, len(rows))), max(1, int(shared.sum())))
     for first in range(0, int(shared.sum()), wide):
         lo, hi = np.searchsorted(col, [first, first + wide])
         hit = np.zeros((len(rows), wide), np.float32)

@@ -35,6 +35,7 @@ WORDS = 50
 GAP = 10
 SHARE = 0.8
 BLOCK = 512
+REMEMBERED = 20_000  # documents that a task remembers in order not to scan a copy again
 _SEEDS = K.mix(np.arange(101, 101 + HASHES, dtype=np.uint64))
 
 
@@ -57,7 +58,7 @@ def compact_windows(documents: list[np.ndarray], least: int, seed: np.uint64) ->
 
     All documents (none shorter than ``least``) are scanned as one array.  A token is the minimum of some run of ``least`` tokens
     exactly if its compact window is that wide, so the sliding minima name the tokens and the Cartesian tree over
-    them gives the windows' ends.  Of equal values the left one counts as smaller.
+    them gives the windows' ends.  Of equal values far apart the left one counts as smaller.
     """
     tokens = np.concatenate(documents)
     ends = np.cumsum([len(d) for d in documents])
@@ -74,33 +75,34 @@ def compact_windows(documents: list[np.ndarray], least: int, seed: np.uint64) ->
     over[:-1] &= ~(inside[1:] & (low[1:] == low[:-1]))
     last = np.flatnonzero(over)
     value, owner = low[first], owner[first]
-    # where the minimum is: the leftmost place at or after the last run's beginning
-    where = np.full(len(first), -1)
-    todo = np.arange(len(first))
-    for d in range(least):
-        hit = h[last[todo] + d] == value[todo]
-        where[todo[hit]] = last[todo[hit]] + d
-        todo = todo[~hit]
-        if not len(todo):
-            break
+    # the first and the last place of the minimum in its runs; equal ones between them are one node
+    early, late = np.full(len(first), -1), np.full(len(first), -1)
+    for place, start, order in ((early, first, range(least)), (late, last, range(least - 1, -1, -1))):
+        todo = np.arange(len(first))
+        for d in order:
+            hit = h[start[todo] + d] == value[todo]
+            place[todo[hit]] = start[todo[hit]] + d
+            todo = todo[~hit]
+            if not len(todo):
+                break
     # the Cartesian tree over the minima: nearest smaller one on either side
     left, right = begins[owner].tolist(), (ends[owner] - 1).tolist()
     stack: list[int] = []
-    values, places, homes = value.tolist(), where.tolist(), owner.tolist()
+    values, firsts, lasts, homes = value.tolist(), early.tolist(), late.tolist(), owner.tolist()
     for i, v in enumerate(values):
         if stack and homes[stack[-1]] != homes[i]:
             stack.clear()
         while stack and values[stack[-1]] > v:
-            right[stack.pop()] = places[i] - 1
+            right[stack.pop()] = firsts[i] - 1
         if stack:
-            left[i] = places[stack[-1]] + 1
+            left[i] = lasts[stack[-1]] + 1
         stack.append(i)
     # a smaller token nearer than any minimum ends a window that ``least`` did not cut off
     left, right = np.array(left, np.int64), np.array(right, np.int64)
-    left = np.where(where - first < least - 1, np.maximum(left, first), left)
-    right = np.where(last < where, np.minimum(right, last + least - 1), right)
+    left = np.where(early - first < least - 1, np.maximum(left, first), left)
+    right = np.where(last < late, np.minimum(right, last + least - 1), right)
     base = begins[owner]
-    return owner, value, left - base, where - base, right - base, first - base, last + least - 1 - base
+    return owner, value, left - base, early - base, right - base, first - base, last + least - 1 - base
 
 
 def _tokens(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -229,8 +231,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             yield pa.record_batch({"id": batch.column(0), "n": n, "fp": fp})
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for _, _, data, off in K.slices(batch.column(0)):
                 kept, names = [], []
                 for tokens in _tokens(data, off, shingle):
@@ -242,8 +246,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
                     yield _signatures(kept, np.array(names, np.int64), least)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for _, _, data, off in K.slices(batch.column(0)):
                 kept, names = [], []
                 for tokens in _tokens(data, off, shingle):
