@@ -12,7 +12,7 @@ from factloom.functions.text import CAPITALISED, STOPWORDS, WORD, py_strip
 from factloom.functions.vectors import cosine, subtract_scaled, top_k_scan
 from factloom.models import HashEmbedding, HuggingFaceEmbedding, OpenAILLM, RuleModel, TextModel, VectorModel
 from factloom.operators import graph as G
-from factloom.operators import linking, retrieval, vocabulary
+from factloom.operators import linking, ner, retrieval, vocabulary
 from factloom.operators.chunking import chunk_documents, pack_sentences, split_recursively, with_overlap
 from factloom.operators.extraction import entities_from_units, filter_terms, parse_entities, parse_facts, parse_query, parse_replies
 from factloom.sources.documents import from_list, from_turns
@@ -142,6 +142,19 @@ def test_links_equal_a_regex_scan(spark, per_block, monkeypatch):
             linking.link_regex(units, ranked, per_block)
 
 
+def test_candidates_of_a_parsed_text():
+    from types import SimpleNamespace as Of
+
+    doc = Of(ents=[Of(text=" Nordlys "), Of(text="7"), Of(text="x")], noun_chunks=[Of(text="the Aurora Lamp"), Of(text="An ox"), Of(text="12345"), Of(text="those kettles")])
+    assert ner.candidate_names(doc) == ["Nordlys", "Aurora Lamp", "kettles"]
+
+
+def test_given_sentences_are_taken(spark):
+    chunks = spark.createDataFrame([("c", 1, "x", ["  a given sentence ", "short"])], "chunk_id string, chunk_ord long, content string, sentences array<string>")
+    got = vocabulary.sentence_units(chunks).collect()
+    assert [(r["content"], r["extraction_method"]) for r in got] == [("a given sentence", "sentence_split")]
+
+
 def test_reply_parsers():
     good = {"knowledge_units": [{"content": "A", "entities": ["x", 1]}, {"entities": []}, "no", {"content": None}]}
     want = [{"content": "A", "entities": ["x", "1"]}, {"content": "None", "entities": []}]
