@@ -21,8 +21,12 @@ from factloom.llm.sentencepiece_scan import encode_documents
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in the saved table ``dropped`` (_id)."""
-    return docs.join(maybe_broadcast(dropped, 24), docs["doc_id"].eqNullSafe(dropped["_id"]), "left_anti")
+    """``docs`` without the rows whose id is in the saved table ``dropped`` (_id); a null there stands for the null ids.
+
+    Nulls are apart from the join: a null-safe join's hash table takes several times the room of one by a plain long.
+    """
+    left = docs.join(maybe_broadcast(dropped.where("_id is not null"), 8), docs["doc_id"] == dropped["_id"], "left_anti")
+    return left if dropped.where("_id is null").isEmpty() else left.where("doc_id is not null")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +66,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = mix_taken(spark, docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
     times = found.where("s > 0").select("_id", F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("_times")).where("_times > 0")
     times = Scratch(spark, "stage").save(times)
-    drawn = docs.join(maybe_broadcast(times, 28), docs["doc_id"].eqNullSafe(times["_id"]), "inner")
+    drawn = docs.join(maybe_broadcast(times.where("_id is not null"), 16), docs["doc_id"] == times["_id"])
+    for r in times.where("_id is null").collect():  # one row at most
+        drawn = drawn.unionByName(docs.where("doc_id is null").withColumns({"_id": docs["doc_id"], "_times": F.lit(r["_times"])}))
     return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
 
 

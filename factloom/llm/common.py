@@ -71,8 +71,11 @@ class Scratch:
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` (a saved table, so counting reads only footers) hinted for broadcast if it is small; else left to shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """``df`` (a saved table, so counting reads only footers) hinted for broadcast if it is small; else left to shuffle.
+
+    ``row_bytes`` is what a row's values take; the hash table that is shipped needs about as much again and 64 bytes.
+    """
+    return F.broadcast(df) if df.count() * (2 * row_bytes + 64) <= BROADCAST_BYTES else df
 
 
 def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
@@ -109,7 +112,8 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.Rec
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u long, v long): rows (u, root), root the smallest node reached.
 
-    Alternating star contraction: every round hangs each node's larger neighbours, then its smaller ones, on its
+    The minima are saved before they are joined back, so that both sides of the join are plain exchanges and a hot node's
+    rows can be split at run time.  Alternating star contraction: every round hangs each node's larger neighbours, then its smaller ones, on its
     smallest neighbour, until all edges are stars.  Only minima are aggregated, so a node with very many
     neighbours is combined before the shuffle and never gathered.  Null ends and loops are ignored.
     """
@@ -121,14 +125,14 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     before = state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.save(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = scratch.save(small)
-        scratch.drop(large)
-        scratch.drop(now)
+        for done in (large, least, low, now):
+            scratch.drop(done)
         now, seen = after, state(after)
         if seen == before:
             break

@@ -64,7 +64,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("id", "text", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha"))
     marks = scratch.save(texts.drop("text"))
-    again = maybe_broadcast(scratch.save(marks.groupBy("bytes", "h").agg(F.count("*").alias("c")).where("c > 1").select("bytes", "h")), 24)
+    again = maybe_broadcast(scratch.save(marks.groupBy("bytes", "h").agg(F.count("*").alias("c")).where("c > 1").select("bytes", "h")), 64)
     alone = marks.join(again, ["bytes", "h"], "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,8 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     heads = pieces.where("pos = 0").select("row", "id", "sha")
     named = scratch.save(named.join(heads, "row"))
     scratch.drop(pieces)
-    groups = named.groupBy("n", "name").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("group_size"))
+    # saved, so that the rows of a hot group can be split when they are joined with it
+    groups = scratch.save(named.groupBy("n", "name").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("group_size")))
     several = named.join(groups, ["n", "name"]).select("id", F.col("top.id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "sha")
     out = alone.unionByName(several)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))

@@ -280,7 +280,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     near = classes.join(links, "fp", "left").join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     near = scratch.save(near.select("fp", "weight", "links", "root", "least"))
-    named_roots = near.groupBy("root").agg(F.min("least").alias("component"))
+    named_roots = scratch.save(near.groupBy("root").agg(F.min("least").alias("component")))
     near = near.join(named_roots, "root").select("fp", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), "component")
     out = points.join(near, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

@@ -326,6 +326,6 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         case when size(acc) > 0 and element_at(acc, -1).end >= x.start
              then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
              else concat(acc, array(x)) end)"""
-    spans = spans.select("fp", F.explode(F.expr(merge)).alias("s"))
+    spans = scratch.save(spans.select("fp", F.explode(F.expr(merge)).alias("s")))
     out = rows.where("n > 0").join(spans, "fp")
     return out.select(F.col("id").alias(id_col), F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), (F.col("s.end") - F.col("s.start")).alias("n_words"), ((F.col("s.start") == 0) & (F.col("s.end") == F.col("n"))).alias("whole"))

@@ -206,6 +206,7 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
     roots = components(scratch, found.select(F.col("fp").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "fp")
     near = classes.join(found.groupBy("fp").agg(F.sum("links").alias("links")), "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     near = scratch.save(near)
-    near = near.join(near.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
+    named_roots = scratch.save(near.groupBy("root").agg(F.min("least").alias("component")))
+    near = near.join(named_roots, "root").select("fp", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
     out = points.join(near, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNotNull(), F.col("component")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

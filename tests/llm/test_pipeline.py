@@ -1,7 +1,11 @@
 """The pipeline's stages, each against what it should keep, and the registered queries' shapes."""
 
+import os
 import random
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 import __spark_entry__
 from factloom.llm.queries import ORACLES, QUERIES
@@ -66,3 +70,33 @@ def test_registered_names():
     assert set(QUERIES) <= set(known) and "pipeline" in known
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
     assert set(ORACLES) <= set(QUERIES) and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    found = con.execute(ORACLES[name])
+    columns = [c[0] for c in found.description]
+    want = sorted(found.fetchall(), key=repr)
+    got = QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == want and want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_covers_its_whole_table(spark, name):
+    table = "embeddings" if name.startswith("op3") else "documents"
+    rows = spark.read.parquet(f"{DATA}/{table}.parquet")
+    out = QUERIES[name](spark, DATA)
+    key = out.columns[0]
+    if name.startswith("op4"):  # passages, of documents of the table
+        assert out.join(rows, key, "left_anti").isEmpty() and not out.isEmpty()
+    else:
+        assert sorted(r[0] for r in out.select(key).collect()) == sorted(r[0] for r in rows.select(key).collect())
