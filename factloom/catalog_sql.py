@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from .functions.text import STOPWORDS
+from .functions.text import CAPITALISED, STOPWORDS, WORD
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in sorted(STOPWORDS)) + "]"
 # word boundaries are ASCII here: other letters and digits become _, everything else that is not ASCII a space
 _ASCII = r"regexp_replace(regexp_replace({0}, '[^\x00-\x7F\p{{L}}\p{{N}}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
-_CAPS = r"\b[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*\b"
-_WORD = r"\b[a-zA-Z][a-zA-Z0-9.-]*\b"
+_CAPS, _WORD = (x.replace("(?U)", "") for x in (CAPITALISED, WORD))
 _KEEP = f"lambda x: length(x) > 1 AND NOT list_contains({_STOP}, lower(x))"
 
 

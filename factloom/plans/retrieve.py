@@ -40,7 +40,7 @@ class SearchResult:
         return asdict(self)
 
     def to_json(self, path: str | Path | None = None) -> str:
-        text = json.dumps(self.to_dict(), indent=2)
+        text = json.dumps(asdict(self), indent=2)
         if path:
             Path(path).write_text(text)
         return text

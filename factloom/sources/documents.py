@@ -15,7 +15,8 @@ def from_list(spark: SparkSession, documents: Sequence[Any]) -> DataFrame:
     rows = []
     for i, d in enumerate(documents):
         given = d if isinstance(d, dict) else {"text": str(d)}
-        rows.append((i, str(given.get("doc_id", f"doc-{i}")), given.get("text", "")))
+        name = given["doc_id"] if "doc_id" in given else f"doc-{i}"
+        rows.append((i, str(name), given.get("text", "")))
     return spark.createDataFrame(rows, "doc_ord long, doc_id string, text string")
 
 

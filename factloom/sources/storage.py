@@ -76,7 +76,7 @@ class JsonStorage:
         return self.path.exists()
 
     def save(self, graph: FactGraph) -> None:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
+        self.path.parent.mkdir(exist_ok=True, parents=True)
         with self.path.open("w") as out:
             for k, (name, schema) in enumerate(SCHEMAS.items()):
                 out.write(("{" if not k else ", ") + json.dumps(name) + ": [")
