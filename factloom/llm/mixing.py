@@ -162,7 +162,8 @@ def mix_taken(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     """
     mix = plan_mix(spark, docs, id_col, text_col, source_col, **options)
     times = mix.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = mix.pieces.join(times, ["sid", "block"], "left").groupBy("id", "sid", "size", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    # the slots come from a small table of draws, so their size is guessed far too low: never broadcast them
+    taken = mix.pieces.join(times.hint("merge"), ["sid", "block"], "left").groupBy("id", "sid", "size", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     none = mix.documents.where("size = 0").select("id", "sid", "size", "start", F.lit(0).cast("long").alias("taken"))
     known = spark.createDataFrame([(s["sid"], s["size"], s["target"]) for s in mix.sources], "sid int, source_size long, target double")
     out = taken.unionByName(none).join(F.broadcast(known), "sid")
