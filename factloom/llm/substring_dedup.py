@@ -11,6 +11,8 @@ window (l, c, r): all runs inside [l, r] that hold position c share its token as
    overlap there may be a passage, and the document and those windows' pivots are candidates.
 3. Candidates are verified on the tokens themselves (32 bits of each, around the windows): the positions of one document whose token the other one has, gaps
    of up to ``GAP`` closed, make a passage if it has at least ``WORDS`` words and ``SHARE`` of its tokens are common.
+4. Two members can share what their pivot lacks.  So every run of ``WORDS`` words of the candidates' stretches is hashed, and
+   what another document has word for word is a passage whatever the pivots confirmed.
 
 Documents of equal words are one point; what repeats in copies is the whole text.
 """
@@ -36,6 +38,7 @@ GAP = 10
 SHARE = 0.8
 BLOCK = 512
 REMEMBERED = 20_000  # documents that a task remembers in order not to scan a copy again
+_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SEEDS = K.mix(np.arange(101, 101 + HASHES, dtype=np.uint64))
 
 
@@ -187,6 +190,44 @@ def interval_join(left: np.ndarray, right: np.ndarray, which: np.ndarray, pivot:
     return found
 
 
+def run_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``length`` tokens: a polynomial in an odd number, shifted to the run's begin."""
+    if len(tokens) < length:
+        return np.zeros(0, np.uint64)
+    n = len(tokens) - length + 1
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(tokens), _BASE))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(tokens.astype(np.uint64)) * power)])
+        # the last token of a run has the same power in all of them
+        return K.mix((total[length:] - total[:n]) * np.cumprod(np.full(n, _INVERSE)))
+
+
+def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of the intervals [begin, end), as disjoint ones in order."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order]) if len(end) else end
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] > end[:-1]
+    return begin[new], end[np.append(np.flatnonzero(new)[1:], len(begin)) - 1] if len(begin) else end
+
+
+def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, at) of the rows (h, fp, at), sorted by h, whose h several fp have; rows of a negative ``at`` only witness."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, fp, at = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held))
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        least, most = np.minimum.reduceat(fp, begin), np.maximum.reduceat(fp, begin)
+        hit = np.repeat(least != most, np.diff(np.append(begin, len(h)))) & (at >= 0)
+        if hit.any():
+            yield pa.record_batch({"fp": fp[hit], "at": at[hit]})
+        # the last run may go on: one document's rows wait, of several two witnesses are enough
+        last = begin[-1]
+        held = [h[last:], fp[last:], at[last:]] if least[-1] == most[-1] else [np.repeat(h[last], 2), np.array([least[-1], most[-1]]), np.full(2, -1, np.int32)]
+
+
 def _verify(table: pa.Table, shingle: int, words: int, gap: int, share: float) -> Iterator[pa.RecordBatch]:
     """The passages of the members of one star (a block of it), and the pivot's own, each passage once."""
     star = table.column("star")[0].as_py()
@@ -312,13 +353,41 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             yield pa.record_batch({"task": batch.column(1).take(pa.array(row)), "star": batch.column(2).take(pa.array(row)), "fp": batch.column(0).take(pa.array(row)), "base": pa.array(base, pa.int32()), "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*pieces, np.zeros(0, np.int32)])))})
 
     texts = named.join(maybe_broadcast(wanted.select("id").distinct(), 24), "id", "left_semi").unionByName(named.where("id is null"))
-    tokens = texts.select("text").mapInArrow(tokens_of, "fp long, tokens array<int>").dropDuplicates(["fp"])
+    tokens = scratch.save(texts.select("text").mapInArrow(tokens_of, "fp long, tokens array<int>").dropDuplicates(["fp"]))
 
     def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
         return _verify(table, shingle, words, gap, share)
 
     parts = seats.join(tokens, "fp").select("fp", "task", "star", "lo", "hi", "tokens").mapInArrow(cut, "task long, star long, fp long, base int, tokens array<int>")
-    found = map_groups(parts, "task", verify, "fp long, start int, end int").distinct()
+    found = scratch.save(map_groups(parts, "task", verify, "fp long, start int, end int").distinct())
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = words - shingle + 1
+        for batch in batches:
+            grams, spans, done = batch.column(1), batch.column(2), batch.column(3)
+            for i, fp in enumerate(batch.column(0).to_pylist()):
+                h = run_hashes(grams[i].values.to_numpy().view(np.uint32), length).view(np.int64)
+                inside, known = np.zeros(len(h) + 1, np.int32), np.zeros(len(h), bool)
+                for lo, hi in zip(*_union(*(spans[i].values.field(k).to_numpy().astype(np.int64) for k in range(2)))):
+                    inside[min(lo, len(h))] += 1
+                    inside[min(max(hi - length + 1, lo), len(h))] -= 1
+                if done[i].is_valid:
+                    for lo, hi in zip(*_union(*(done[i].values.field(k).to_numpy().astype(np.int64) for k in range(2)))):
+                        known[lo : max(lo, hi - words + 1)] = True
+                at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+                if len(at):
+                    yield pa.record_batch({"h": h[at], "fp": np.full(len(at), fp), "at": np.where(known[at], -1, at).astype(np.int32)})
+
+    def join_runs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        at = table.column("at").to_numpy().astype(np.int64)
+        begin, end = _union(at, at + words)
+        yield pa.record_batch({"fp": np.full(len(begin), table.column("fp")[0].as_py()), "start": begin.astype(np.int32), "end": end.astype(np.int32)})
+
+    stretches = pairs.select("fp", F.arrays_zip("lo", "hi").alias("w")).groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_set("w"))).alias("w"))
+    confirmed = found.groupBy("fp").agg(F.collect_list(F.struct("start", "end")).alias("done"))
+    hashed = tokens.join(stretches, "fp").join(confirmed, "fp", "left").select("fp", "tokens", "w", "done").mapInArrow(runs, "h long, fp long, at int")
+    beyond = scratch.save(hashed.repartition("h").sortWithinPartitions("h").mapInArrow(shared_runs, "fp long, at int"))
+    found = found.unionByName(map_groups(beyond, "fp", join_runs, "fp long, start int, end int"))
     copies = sizes.where("weight > 1").select("fp", F.lit(0).alias("start"), F.col("n").alias("end"))
     spans = found.unionByName(copies).groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     # overlapping passages of a text become one

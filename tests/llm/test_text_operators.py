@@ -12,7 +12,7 @@ from factloom.llm import textkernel as K
 from factloom.llm.common import Scratch, components
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.jaccard_join import jaccard_components, link_matrix_parts
-from factloom.llm.substring_dedup import compact_windows, interval_join, repeated_passages, sliding_min
+from factloom.llm.substring_dedup import compact_windows, interval_join, repeated_passages, run_hashes, shared_runs, sliding_min
 
 DOCS = "doc_id long, text string, n_similar string, fp string"
 
@@ -212,5 +212,44 @@ def test_repeated_passages_are_found_and_others_left(spark, block):
     assert all(r["whole"] == (r["doc_id"] in (400, 401)) for r in got) and len(found[400]) == 2
 
 
+@pytest.mark.parametrize("length", [55, 60])
+def test_overlapping_excerpts_are_found_whatever_their_pivots_hold(spark, length):
+    rng = random.Random(length)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    source, rows, cuts = fresh(200), [], []
+    for i in range(300):
+        at = rng.randrange(0, 200 - length + 1)
+        before = fresh(rng.randrange(20, 60))
+        cuts.append((at, len(before)))
+        rows.append((i, " ".join(before + source[at : at + length] + fresh(40))))
+    found = {}
+    for r in repeated_passages(spark, frame(spark, rows)).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    for i, (at, before) in enumerate(cuts):
+        held = set()
+        for j, (other, _) in enumerate(cuts):
+            a, b = max(at, other), min(at, other) + length
+            if i != j and b - a >= 50:
+                held |= set(range(before + a - at, before + b - at))
+        got = {w for a, b in found.get(i, []) for w in range(a, b)}
+        assert held <= got and len(got) <= len(held) + 30, (i, held - got)
+
+
+def test_run_hashes_and_shared_runs_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, 400).astype(np.uint32)
+    h = run_hashes(x, 5)
+    runs = [tuple(x[i : i + 5]) for i in range(396)]
+    assert len(h) == 396 and len(set(h.tolist())) == len(set(runs)) == len(set(zip(h.tolist(), runs))) and not len(run_hashes(x[:4], 5))
+    rows = sorted((int(a), int(b), int(c)) for a, b, c in zip(rng.integers(0, 60, 200), rng.integers(0, 3, 200), rng.integers(-1, 50, 200)))
+    want = sorted((b, c) for a, b, c in rows if c >= 0 and len({q for p, q, _ in rows if p == a}) > 1)
+    for size in (1, 2, 7, 200):
+        batches = [pa.record_batch({"h": pa.array([r[0] for r in part], pa.int64()), "fp": pa.array([r[1] for r in part], pa.int64()), "at": pa.array([r[2] for r in part], pa.int32())}) for part in (rows[i : i + size] for i in range(0, 200, size))]
+        got = sorted((r["fp"], r["at"]) for b in shared_runs(iter(batches)) for r in b.to_pylist())
+        assert got == want
+
+
 def test_repeated_passages_of_nothing(spark):
     assert repeated_passages(spark, frame(spark, [])).collect() == []
