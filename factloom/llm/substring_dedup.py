@@ -237,7 +237,7 @@ def _verify(table: pa.Table, shingle: int, words: int, gap: int, share: float) -
     pieces = [(f, b, flat[at[i] : at[i + 1]]) for i, (f, b) in enumerate(zip(fp, base))]
     pivot = next((t for f, _, t in pieces if f == star), None)
     if pivot is None:
-        return
+        raise ValueError(f"star {star} without its pivot's tokens")
     ordered = np.unique(pivot)
     out: set[tuple[int, int, int]] = set()
     for f, b, tokens in pieces:
@@ -260,6 +260,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     of their own, so a row and its copy are passages of each other; a null id is carried through.  Other columns are not read.
     """
     scratch = Scratch(spark, "passages")
+    shortest = max(least, words - shingle + 1)  # a shorter document has no passage and must not become a pivot
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +280,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             for _, _, data, off in K.slices(batch.column(0)):
                 kept, names = [], []
                 for tokens in _tokens(data, off, shingle):
-                    if len(tokens) >= least and (fp := name_tokens(tokens)) not in seen:
+                    if len(tokens) >= shortest and (fp := name_tokens(tokens)) not in seen:
                         seen.add(fp)
                         kept.append(tokens)
                         names.append(fp)
@@ -294,7 +295,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             for _, _, data, off in K.slices(batch.column(0)):
                 kept, names = [], []
                 for tokens in _tokens(data, off, shingle):
-                    if len(tokens) >= least and (fp := name_tokens(tokens)) not in seen:
+                    if len(tokens) >= shortest and (fp := name_tokens(tokens)) not in seen:
                         seen.add(fp)
                         kept.append(tokens)
                         names.append(fp)

@@ -12,7 +12,7 @@ from factloom.llm import textkernel as K
 from factloom.llm.common import Scratch, components
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.jaccard_join import jaccard_components, link_matrix_parts
-from factloom.llm.substring_dedup import compact_windows, interval_join, repeated_passages, run_hashes, shared_runs, sliding_min
+from factloom.llm.substring_dedup import _signatures, _tokens, _verify, compact_windows, interval_join, name_tokens, repeated_passages, run_hashes, shared_runs, sliding_min
 
 DOCS = "doc_id long, text string, n_similar string, fp string"
 
@@ -235,6 +235,34 @@ def test_overlapping_excerpts_are_found_whatever_their_pivots_hold(spark, length
         assert held <= got and len(got) <= len(held) + 30, (i, held - got)
 
 
+def test_documents_just_too_short_are_no_pivots(spark):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def tokens(text):
+        data = text.encode()
+        return next(iter(_tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 5)))
+
+    for _ in range(20_000):  # an excerpt of 49 words that has the smallest name and all signatures of the passage
+        p = fresh(51)
+        texts = [" ".join(x) for x in (fresh(30) + p + fresh(30), fresh(30) + p + fresh(30), p[1:50])]
+        found = [tokens(t) for t in texts]
+        names = [name_tokens(t) for t in found]
+        if names[2] == min(names):
+            x, y, z = (set(_signatures([t], np.array([1]), 40).column("key").to_pylist()) for t in found)
+            if x & y <= z:
+                break
+    else:
+        raise AssertionError("no case")
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in repeated_passages(spark, frame(spark, list(enumerate(texts)))).collect()}
+    assert {i for i, _, _ in got} == {0, 1} and all(a <= 31 and b >= 80 for _, a, b in got)
+    star = pa.table({"star": pa.array([1], pa.int64()), "fp": pa.array([2], pa.int64()), "base": pa.array([0], pa.int32()), "tokens": pa.array([[1, 2]], pa.list_(pa.int32()))})
+    with pytest.raises(ValueError):
+        list(_verify(star, 5, 50, 10, 0.8))
+
+
 def test_run_hashes_and_shared_runs_across_batches():
     import pyarrow as pa
 
