@@ -20,6 +20,9 @@ from factloom.llm.queries import PIECE_MODEL
 from factloom.llm.sentencepiece_scan import encode_documents
 
 
+DRAW = 1  # seed of the mixing stage's draws
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id is in the saved table ``dropped`` (_id); a null there stands for the null ids.
 
@@ -62,9 +65,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: 0, 1 or 2 times, to the nearest."""
+    """Each document as often as the mix takes its words, 0, 1 or 2 times: what is beyond a whole number is drawn by a hash
+    of the id, so that the sources' words keep to their targets, whatever their documents' lengths."""
     found = mix_taken(spark, docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    times = found.where("s > 0").select("_id", F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("_times")).where("_times > 0")
+    drawn = F.pmod(F.xxhash64("_id", F.lit(DRAW)), F.lit(1 << 30)) / (1 << 30)
+    times = found.where("s > 0").select("_id", (F.expr("t div s") + (drawn < F.expr("t % s") / F.col("s")).cast("int")).cast("int").alias("_times")).where("_times > 0")
     times = Scratch(spark, "stage").save(times)
     drawn = docs.join(maybe_broadcast(times.where("_id is not null"), 16), docs["doc_id"] == times["_id"])
     for r in times.where("_id is null").collect():  # one row at most

@@ -54,6 +54,16 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert sorted(seen["sentencepiece"], key=repr) == sorted(four, key=repr)
 
 
+def test_mixing_keeps_long_documents_to_their_sources_targets(spark):
+    text = " ".join(["word"] * 1000)
+    docs = spark.createDataFrame([(i, text, "en", f"s{i % 3}", 1, 2, "z") for i in range(900)], KIND)
+    got = corpus_pipeline.mixing(spark, docs, "").groupBy("source").count().collect()
+    # 1.5 times all words in the proportion 3 : 1 : 2, of which the first source may give 2 times its own
+    for r in got:
+        assert abs(r["count"] / 300 - {"s0": 2, "s1": 2.5 / 3, "s2": 5 / 3}[r["source"]]) < 0.08, got
+    assert len(got) == 3
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     assert all(docs.collect() == [] for _, docs in stages(spark, tmp_path, []))
 
