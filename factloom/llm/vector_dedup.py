@@ -1,20 +1,20 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Reference vectors (pivots) are drawn from a bounded sample, no two of them close to each other, so a large group of
-copies does not take the pivots for itself.  A vector is described by its ``NEAR`` nearest pivots in order.  Inverted lists
+copies does not take the pivots for itself.  A vector is described by its nearest pivots, ``near_of`` many.  Inverted lists
 are kept for pairs of pivots: two vectors meet in a list exactly if they share at least two of their nearest pivots, which is
 the shared-pivot count that makes a pair worth verifying.  Every vector is indexed; lists of more than ``block`` vectors are
 dealt to pairs of blocks.  A list is verified by matrix products in double precision and returns, for each vector, the
 weight of its links and a local root, never its pairs; a pair that meets in several lists counts in the first.
 
-The number of pivots grows with the root of the number of vectors, so lists stay short, up to ``MOST_PIVOTS``.
+The number of pivots grows with the root of the number of vectors, so lists stay short, up to ``MOST_PIVOTS``;
+of more pivots a vector has more near ones, since close vectors agree less on which of many are the nearest.
 Recall is a matter of the shared pivots (the tests measure it against brute force); what is linked is always verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,6 @@ NEAR = 5
 MOST_PIVOTS = 1024
 COSINE = 0.9
 BLOCK = 2048
-_PAIRS = np.array(list(combinations(range(NEAR), 2)))
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,20 +59,37 @@ def choose_pivots(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[chosen]
 
 
+def near_of(pivots: int) -> int:
+    """How many of ``pivots`` describe a vector: the binary logarithm, ``NEAR`` at least."""
+    return min(pivots, max(NEAR, round(np.log2(max(pivots, 1)))))
+
+
+def nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The numbers of each row's nearest pivots, ascending."""
+    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, : near_of(len(pivots))]
+    return np.sort(order, axis=1)
+
+
+def list_keys(top: np.ndarray, pivots: int) -> np.ndarray:
+    """The list keys of each row: the pairs of its nearest pivots, ascending; of a single pivot, that one."""
+    if top.shape[1] < 2:
+        return top * (pivots + 1)
+    i, j = np.triu_indices(top.shape[1], 1)
+    return top[:, i] * pivots + top[:, j]
+
+
 def describe(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The list keys of each row: the pairs of its nearest pivots (of fewer pivots, what pairs there are), ascending."""
-    near = min(NEAR, len(pivots))
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :near]
-    top = np.sort(order, axis=1).astype(np.int64)
-    pairs = _PAIRS[(_PAIRS < near).all(1)] if near > 1 else np.array([[0, 0]])
-    return np.sort(top[:, pairs[:, 0]] * len(pivots) + top[:, pairs[:, 1]], axis=1)
+    """The list keys of each row."""
+    return list_keys(nearest(x, pivots), len(pivots))
 
 
-def _pairs_of(task: np.ndarray, x: np.ndarray, keys: np.ndarray, me: np.ndarray, side: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(task: np.ndarray, x: np.ndarray, top: np.ndarray, me: np.ndarray, pivots: int, side: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked index pairs of rows sorted by task, small tasks all at once and large ones by matrix products.
 
-    ``me`` is the list a row stands in, ``side`` its block where a list is dealt to pairs of blocks, else -1.
+    ``me`` is the list a row stands in: a pair counts there if it has no common pivot (``top``) below the list's larger one
+    besides the smaller one, so that it has no earlier list.  ``side`` is a row's block where a list is dealt to pairs of blocks, else -1.
     """
+    below = (top < (me % pivots)[:, None]) & (top != (me // pivots)[:, None])
     cuts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
     size = np.diff(cuts)
     small = np.repeat(size <= 48, size)
@@ -85,17 +101,16 @@ def _pairs_of(task: np.ndarray, x: np.ndarray, keys: np.ndarray, me: np.ndarray,
             ok = np.einsum("ij,ij->i", x[a], x[a + d]) >= least
             a = a[ok]
             if len(a):
-                common = (keys[a][:, :, None] == keys[a + d][:, None, :]).any(2)
-                first = np.where(common, keys[a], np.iinfo(np.int64).max).min(1) == me[a]
+                first = ~((top[a][:, :, None] == top[a + d][:, None, :]).any(2) & below[a]).any(1)
                 first &= (side[a] != side[a + d]) | (side[a] < 0)
                 yield a[first], a[first] + d
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         if hi - lo <= 48:
             continue
-        before = np.unique(keys[lo:hi][keys[lo:hi] < me[lo]])
-        column = np.searchsorted(before, keys[lo:hi])
+        before = np.unique(top[lo:hi][below[lo:hi]])
+        column = np.searchsorted(before, top[lo:hi])
         has = np.zeros((hi - lo, len(before)), np.float32)
-        r, c = np.nonzero(keys[lo:hi] < me[lo])
+        r, c = np.nonzero(below[lo:hi])
         has[r, column[r, c]] = 1
         for a in range(lo, hi, 512):
             end = min(a + 512, hi)
@@ -137,7 +152,8 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.float32()))
     sample, ok = _matrix(column, width)
-    shipped = spark.sparkContext.broadcast(choose_pivots(sample[ok], most))
+    chosen = choose_pivots(sample[ok], most)
+    n_pivots, shipped = len(chosen), spark.sparkContext.broadcast(chosen)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shipped.value
@@ -148,26 +164,26 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
                 part = batch.slice(lo, 4096)
                 x, ok = _matrix(part.column(1), width)
                 if ok.any():
-                    keys = describe(x[ok], pivots)
-                    at = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-                    yield pa.record_batch({"fp": part.column(0).filter(pa.array(ok)), "v": part.column(1).filter(pa.array(ok)), "keys": pa.ListArray.from_arrays(at, pa.array(keys.reshape(-1)))})
+                    top = nearest(x[ok], pivots)
+                    lists = [(k, pa.array(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32))) for k in (top.astype(np.int16), list_keys(top, len(pivots)))]
+                    yield pa.record_batch({"fp": part.column(0).filter(pa.array(ok)), "v": part.column(1).filter(pa.array(ok)), **{c: pa.ListArray.from_arrays(at, pa.array(k.reshape(-1))) for c, (k, at) in zip(("top", "keys"), lists)}})
 
-    described = scratch.save(hashed.select("fp", "v").mapInArrow(index, f"fp long, v {kind}, keys array<long>").dropDuplicates(["fp"]))
+    described = scratch.save(hashed.select("fp", "v").mapInArrow(index, f"fp long, v {kind}, top array<short>, keys array<long>").dropDuplicates(["fp"]))
     lists = described.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = scratch.save(lists.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
     # a vector travels once for each of its lists that has another vector
-    rows = described.select("fp", "keys", F.explode("keys").alias("key")).join(maybe_broadcast(lists, 40), "key")
+    rows = described.select("fp", "top", F.explode("keys").alias("key")).join(maybe_broadcast(lists, 40), "key")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("fp", "keys", "key", "blocks", "side", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("task"), F.when((F.col("blocks") > 1) & (F.col("side") != F.col("other")), F.col("side")).otherwise(-1).alias("cross"))
+    rows = rows.select("fp", "top", "key", "blocks", "side", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("task"), F.when((F.col("blocks") > 1) & (F.col("side") != F.col("other")), F.col("side")).otherwise(-1).alias("cross"))
     crossed = rows.join(described.select("fp", "v"), "fp").join(classes.select("fp", "weight"), "fp")
     # in a task of two blocks all rows carry their side; in a task of one block all carry -1
-    sorted_rows = crossed.select("task", "key", "fp", "weight", F.col("cross").alias("side"), "keys", "v").repartition("task").sortWithinPartitions("task", "fp")
+    sorted_rows = crossed.select("task", "key", "fp", "weight", F.col("cross").alias("side"), "top", "v").repartition("task").sortWithinPartitions("task", "fp")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
             table = table.combine_chunks()
             task, me, fp, weight, side = (table.column(i).to_numpy() for i in range(5))
-            keys = table.column("keys").chunk(0).flatten().to_numpy().reshape(len(task), -1)
+            top = table.column("top").chunk(0).flatten().to_numpy().reshape(len(task), -1)
             x, _ = _matrix(table.column("v").chunk(0), width)
             links, root = np.zeros(len(task), np.int64), np.arange(len(task))
 
@@ -176,7 +192,7 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
                     root[i] = i = root[root[i]]
                 return i
 
-            for a, b in _pairs_of(task, x, keys, me, side, cosine):
+            for a, b in _pairs_of(task, x, top, me, n_pivots, side, cosine):
                 np.add.at(links, a, weight[b])
                 np.add.at(links, b, weight[a])
                 for i, j in zip(a.tolist(), b.tolist()):

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from factloom.llm import vector_dedup
 from factloom.llm.common import Scratch
 from factloom.llm.mixing import mix_taken, permute, plan_mix, water_fill
 from factloom.llm.url_filter import RULES, build_cascade, hashes, judge_urls
@@ -155,3 +156,16 @@ def test_mix_of_nothing(spark):
     assert mix_taken(spark, spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
     only = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert sorted(tuple(r) for r in mix_taken(spark, only).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+@pytest.mark.parametrize("pivots", [64, 152, 340, 1024])
+@pytest.mark.parametrize("cosine", [0.9, 0.93])
+def test_close_vectors_meet_in_a_list_at_any_number_of_pivots(pivots, cosine):
+    rng = np.random.default_rng(pivots)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    made = vector_dedup.choose_pivots(unit(rng.normal(size=(3000, 64))), pivots)
+    x = unit(rng.normal(size=(1000, 64)))
+    r = rng.normal(size=x.shape)
+    y = cosine * x + (1 - cosine**2) ** 0.5 * unit(r - (r * x).sum(1, keepdims=True) * x)
+    a, b = (vector_dedup.list_keys(vector_dedup.nearest(v, made), len(made)) for v in (x, y))
+    assert len(made) == pivots and (a[:, :, None] == b[:, None, :]).any((1, 2)).mean() >= 0.97
