@@ -33,7 +33,10 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go (no text, or no letter in it); an id goes if all its rows do."""
+    """Documents without a language go (no text, or no letter in it); an id goes if all its rows do.
+
+    That is a test of the text's letters: which language the classifier predicts has no part in the decision.
+    """
     found = identify_languages(spark, docs)
     rejected = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min((F.col("lang_pred") == UNKNOWN).cast("int")).alias("all")).where("all = 1")
     return _without(docs, Scratch(spark, "stage").save(rejected.select("_id")))
