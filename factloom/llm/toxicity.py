@@ -3,9 +3,12 @@
 Features are the distinct letter runs of a text, hashed.  One weight vector is shared by all thresholds:
 P(grade > k) = sigmoid(w x - theta_k) with theta_0 < theta_1, and the severity is the expected grade, the sum of these.
 
-The labels only say toxic or not, so the grades of the toxic training rows are made from their texts: the runs that are
-typical of toxic rows (log odds of their document frequencies) are found first, and a toxic row of more of them than the
-median toxic row has grade 2, another grade 1.
+The labels only say toxic or not, so the grades of the toxic training rows are made from their texts: a toxic row with more
+runs that are typical of toxic rows than the median toxic row has grade 2, another grade 1.
+
+A labelled sample holds far more runs than rows, and any rare run would do to tell the sample's rows apart.  So a run is
+a feature only if its document frequencies in the two labels differ by more than ``SIGNIFICANT`` standard deviations of
+what chance gives, and its weight is held by a ridge: what is learnt has to hold for texts outside the sample.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ from .learn import labelled_sample, letter_runs
 
 PER_LABEL = 4000  # labelled rows of each label that the regression sees
 BUCKETS = 1 << 18
-STEPS = 400
-RIDGE = 1e-4
+SIGNIFICANT = 4.0  # standard deviations by which a run's frequency among toxic rows stands out from chance
+FEATURES = 1024  # the regression sees so many of the runs that stand out most
+RIDGE = 1.0  # precision of the weights' normal prior; the likelihood counts as so many rows as the sample has
 FLAG = 0.5
 
 
@@ -52,42 +56,94 @@ class SeverityModel:
         return above.sum(1), (above >= 0.5).sum(1)
 
 
+def typical_runs(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The buckets that stand out, strongest first: those whose number of toxic rows is ``SIGNIFICANT`` standard deviations
+    off the number that as many rows drawn without regard to labels would have."""
+    n, share = len(toxic), toxic.mean()
+    seen = np.bincount(bucket, minlength=BUCKETS)
+    bad = np.bincount(bucket, toxic[row], BUCKETS)
+    spread = np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / n), 1e-9))
+    off = np.abs(bad - seen * share) / spread
+    found = np.flatnonzero((off > SIGNIFICANT) & (seen >= 3))
+    return found[np.argsort(-off[found], kind="stable")][:FEATURES]
+
+
+def _newton_step(design: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], params: np.ndarray, levels: int) -> np.ndarray:
+    """One step up the ridged log likelihood of the cumulative-link model, over (x, grade, weight) blocks of the sample.
+
+    ``params`` are the weights and then the thresholds.  P(grade = k) = S(k - 1) - S(k), S(k) = sigmoid(w x - theta_k).
+    """
+    d = len(params) - levels
+    gradient, curve = np.zeros(len(params)), np.zeros((len(params), len(params)))
+    gradient[:d] -= RIDGE * params[:d]
+    curve[np.arange(d), np.arange(d)] += RIDGE
+    for x, grade, weight in design:
+        z = x @ params[:d]
+        s = np.concatenate([np.ones((len(z), 1)), _sigmoid(z[:, None] - params[None, d:]), np.zeros((len(z), 1))], axis=1)
+        at = np.arange(len(z))
+        up, low = s[at, grade], s[at, grade + 1]
+        p = np.maximum(up - low, 1e-12)
+        du, dl = up * (1 - up), low * (1 - low)
+        fu, fl = du / p, -dl / p  # derivatives of log p by the two links' arguments
+        fuu, fll, ful = du * (1 - 2 * up) / p - fu**2, -dl * (1 - 2 * low) / p - fl**2, du * dl / p**2
+        # a link's argument is w x - theta: the upper one's threshold is grade - 1, the lower one's is grade
+        wide = np.zeros((len(z), levels + 2))
+        wide[at, grade] -= weight * fu
+        wide[at, grade + 1] -= weight * fl
+        gradient[:d] += x.T @ (weight * (fu + fl))
+        gradient[d:] += wide.sum(0)[1 : levels + 1]
+        curve[:d, :d] -= (x * (weight * (fuu + 2 * ful + fll))[:, None]).T @ x
+        cross = np.zeros((len(z), levels + 2))
+        cross[at, grade] += weight * (fuu + ful)
+        cross[at, grade + 1] += weight * (fll + ful)
+        mixed = x.T @ cross[:, 1 : levels + 1]
+        curve[:d, d:] += mixed
+        curve[d:, :d] += mixed.T
+        own = np.zeros((levels + 2, levels + 2))
+        np.add.at(own, (grade, grade), weight * fuu)
+        np.add.at(own, (grade + 1, grade + 1), weight * fll)
+        np.add.at(own, (grade, grade + 1), weight * ful)
+        np.add.at(own, (grade + 1, grade), weight * ful)
+        curve[d:, d:] -= own[1 : levels + 1, 1 : levels + 1]
+    return np.linalg.solve(curve + 1e-9 * np.eye(len(params)), gradient)
+
+
 def fit_severity(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray) -> SeverityModel | None:
     """From the sparse features of labelled rows.  None without both labels."""
     n = len(toxic)
     if toxic.all() or not toxic.any():
         return None
-    seen = np.bincount(bucket, minlength=BUCKETS)
-    bad = np.bincount(bucket, toxic[row], BUCKETS)
-    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((seen - bad + 0.5) / ((~toxic).sum() + 1))
-    # a run tells something if its odds stand out from what chance gives for its frequency
-    strong = odds * np.sqrt(np.maximum(np.minimum(bad, seen), 0) + 1e-9)
-    typical = (odds > 1) & (strong > 6)
-    amount = np.bincount(row, typical[bucket], n)
-    grade = np.where(toxic, np.where(amount > np.median(amount[toxic]), 2, 1), 0)
-    levels = np.arange(2) if (grade == 2).any() else np.arange(1)
-    use = np.flatnonzero(seen >= 3)
+    use = typical_runs(row, bucket, toxic)
     column = np.full(BUCKETS, -1)
     column[use] = np.arange(len(use))
     ok = column[bucket] >= 0
     r, c = row[ok], column[bucket[ok]]
-    w, theta = np.zeros(len(use)), np.log1p(np.arange(len(levels)).astype(float)) + 1
-    target = (grade[:, None] > levels[None, :]).astype(float)
-    balance = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())) / n
-    mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, STEPS + 1):  # Adam on the full sample; cumulative links as a sum of binary losses
-        z = np.bincount(r, w[c], n)
-        slip = (_sigmoid(z[:, None] - theta[None, :]) - target) * balance[:, None]
-        gw = np.bincount(c, slip.sum(1)[r], len(use)) + RIDGE * w / len(use) * 100
-        gt = -slip.sum(0)
-        for x, g, m, v in ((w, gw, mw, vw), (theta, gt, mt, vt)):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        theta[:] = np.maximum.accumulate(theta + np.arange(len(theta)) * 1e-9)
-    weights = np.zeros(BUCKETS, np.float64)
-    weights[use] = w
-    return SeverityModel(weights, theta)
+    toxic_rows, clean_rows = np.bincount(c, toxic[r], len(use)) / toxic.sum(), np.bincount(c, ~toxic[r], len(use)) / (~toxic).sum()
+    amount = np.bincount(r, (toxic_rows > clean_rows)[c], n)
+    grade = np.where(toxic, np.where(amount > np.median(amount[toxic]), 2, 1), 0)
+    levels = int(grade.max())
+    weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))  # both labels count alike
+
+    def design() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        cut = np.searchsorted(r, np.arange(0, n + 1000, 1000))
+        for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
+            rows = slice(1000 * k, min(n, 1000 * (k + 1)))
+            x = np.zeros((len(grade[rows]), len(use)))
+            x[r[lo:hi] - 1000 * k, c[lo:hi]] = 1
+            yield x, grade[rows], weight[rows]
+
+    params = np.concatenate([np.zeros(len(use)), np.arange(levels) * 1.0])
+    for _ in range(40):
+        step = _newton_step(design(), params, levels)
+        step *= min(1.0, 4 / max(np.abs(step).max(), 1e-12))
+        while levels > 1 and (np.diff((params + step)[len(use) :]) <= 0).any():
+            step /= 2
+        params = params + step
+        if np.abs(step).max() < 1e-6:
+            break
+    weights = np.zeros(BUCKETS)
+    weights[use] = params[: len(use)]
+    return SeverityModel(weights, params[len(use) :])
 
 
 def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -95,6 +151,8 @@ def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
 
     Null, empty and letterless texts have no feature: severity 0, grade 0, not toxic.  A null id or label is not learnt
     from; with one label only, or none, nothing is toxic.  Repeated rows are graded alike; other columns are not read.
+    An empty table gives no rows.  A very long text is read whole, in pieces of bounded size.  The labelled rows are among
+    those that are graded, so their own grades are no measure of the model; the tests hold back half of the labels.
     """
     scratch = Scratch(spark, "toxicity")
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

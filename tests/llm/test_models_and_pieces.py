@@ -1,17 +1,19 @@
 """Trained operators on held-out rows, and SentencePiece against the library."""
 
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm.language_id import identify_languages
 from factloom.llm.queries import PIECE_MODEL
 from factloom.llm.quality import fit_ranking, score_quality
 from factloom.llm.sentencepiece_scan import best_states, compose, encode_documents, encode_giant, pieces_of
-from factloom.llm.toxicity import fit_severity, grade_toxicity
+from factloom.llm.toxicity import RIDGE, _newton_step, fit_severity, grade_toxicity
 
 ENDINGS = {"aa": "tion ing the and ness".split(), "bb": "keit ung sch ich ü".split(), "cc": "eau oix é que ment".split()}
 
@@ -131,6 +133,35 @@ def test_toxic_documents_are_graded(spark):
     assert strong > mild
 
 
+def test_newton_steps_reach_the_brute_force_maximum():
+    rng = np.random.default_rng(8)
+    x, grade, weight = (rng.random((200, 3)) < 0.4).astype(float), rng.integers(0, 3, 200), rng.random(200) + 0.5
+
+    def value(params):
+        above = np.concatenate([np.ones((200, 1)), 1 / (1 + np.exp(params[None, 3:] - (x @ params[:3])[:, None])), np.zeros((200, 1))], axis=1)
+        p = above[np.arange(200), grade] - above[np.arange(200), grade + 1]
+        return (weight * np.log(p)).sum() - RIDGE * (params[:3] ** 2).sum() / 2
+
+    params = np.array([0.0, 0, 0, -0.5, 0.5])
+    for _ in range(20):
+        params = params + _newton_step(iter([(x[:90], grade[:90], weight[:90]), (x[90:], grade[90:], weight[90:])]), params, 2)
+    for k in range(5):  # no move along any axis is better, and the slope is nothing
+        step = np.eye(5)[k] * 1e-4
+        assert value(params) > max(value(params + 50 * step), value(params - 50 * step))
+        assert abs(value(params + step) - value(params - step)) < 1e-6
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_held_out_toxic_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fold = "crc32(cast(doc_id as string)) % 2"
+    known = labels.where(f"{fold} = 0")
+    held = labels.where(f"{fold} = 1").select("doc_id", "toxic")
+    got = grade_toxicity(spark, docs, known).withColumnRenamed("toxic", "found").join(held, "doc_id").groupBy("toxic").agg(F.avg(F.col("found").cast("int")).alias("share")).collect()
+    share = {r["toxic"]: r["share"] for r in got}
+    assert share[1] >= 0.85 and share[0] <= 0.02
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
