@@ -24,13 +24,12 @@ from .plans.index import IndexPipeline
 from .plans.retrieve import RetrievePipeline
 from .prompts import FACTS
 from .sources.documents import from_table, from_turns
-from .sources.scratch import Scratch
+from .sources.scratch import Scratch, spread
 from .sources.storage import new_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "search_end_to_end"
 QUERIES: dict[str, Query] = {}
-ALL = 2**31 - 1
 
 
 def query(fn: Query) -> Query:
@@ -39,7 +38,7 @@ def query(fn: Query) -> Query:
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -109,30 +108,33 @@ def entity_case_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.name_index(vocabulary.terms_as_entities(vocabulary.vocabulary_terms(_as_chunks(spark, d)))).select("name_key", "name")
 
 
-def _names(spark: SparkSession, d: str, scratch: Scratch, share: int) -> tuple[DataFrame, DataFrame]:
+def _names(spark: SparkSession, d: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The sentence units of all documents, and all terms that occur twice, ranked."""
     chunks = _as_chunks(spark, d)
-    terms = scratch.save(vocabulary.vocabulary_terms(chunks, max(2, _table(spark, d, "documents").count() // share)))
+    terms = scratch.save(vocabulary.vocabulary_terms(chunks))
     names = linking.ranked_names(scratch, vocabulary.name_index(vocabulary.terms_as_entities(terms)))
     return vocabulary.sentence_units(chunks), names
 
 
 @query
 def entity_link_regex(spark: SparkSession, d: str) -> DataFrame:
-    units, names = _names(spark, d, Scratch(spark), 4)
+    """One regular expression holds one block of names; here the first one, of the 2,000 longest names."""
+    units, names = _names(spark, d, Scratch(spark))
+    names = names.where("block = 0")
     return linking.link_regex(units, names).join(names.select("entity_id", "name"), "entity_id").select("ku_id", "pos", "name")
 
 
 @query
 def entity_link_span(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark)
-    units, names = _names(spark, d, scratch, 50)
+    units, names = _names(spark, d, scratch)
     return linking.link_spans(scratch, units, names).join(names.select("entity_id", "name"), "entity_id").select("ku_id", "pos", "name")
 
 
 @query
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     """The whole index pipeline without a language model, on windows of 1,000 characters."""
-    config = LoomConfig(ku_extraction_method="sentence", chunk_strategy="fixed", vocab_min_term_freq=max(2, _table(spark, d, "documents").count() // 50))
+    config = LoomConfig(ku_extraction_method="sentence", chunk_strategy="fixed")
     return G.graph_stats(IndexPipeline(spark, None, HashEmbedding(), config).run(_docs(spark, d)))
 
 
@@ -170,7 +172,8 @@ def toy_graph(spark: SparkSession, d: str) -> G.FactGraph:
         F.array(F.concat(F.lit("L"), F.col("label")), F.concat(F.lit("G"), F.expr("vec_id % 13"))).alias("entity_ids"),
     )
     edges = units.select("ku_id", F.posexplode("entity_ids").alias("pos", "entity_id"))
-    entities = edges.select("entity_id").distinct().select("entity_id", F.col("entity_id").alias("name"), F.lower("entity_id").alias("name_key"), F.lit("UNKNOWN").alias("entity_type"))
+    place = F.expr("2 * cast(substring(entity_id, 2) as bigint) + if(entity_id like 'G%', 1, 0)")
+    entities = edges.select("entity_id").distinct().select("entity_id", place.alias("entity_ord"), F.col("entity_id").alias("name"), F.lower("entity_id").alias("name_key"), F.lit("UNKNOWN").alias("entity_type"))
     chunks = units.groupBy("chunk_id").agg(F.min("ku_ord").alias("chunk_ord")).select("chunk_id", "chunk_ord", F.col("chunk_id").alias("doc_id"), F.lit(0).alias("index"), F.concat(F.lit("text of "), F.col("chunk_id")).alias("content"))
     return G.FactGraph(chunks, units, entities, edges)
 
@@ -182,6 +185,20 @@ def toy_queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return vectors, q.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("l"), F.col("label")).alias("name"))
 
 
+def variant_graph(spark: SparkSession, d: str) -> G.FactGraph:
+    """Two entities for each label, whose names differ in case only: A before B in the list for even labels, after it for odd
+    ones.  Units of even numbers mention A, others B."""
+    g = toy_graph(spark, d)
+    v = _table(spark, d, "embeddings")
+    labels = v.select(F.col("label").cast("long").alias("label")).distinct()
+    made = labels.select("label", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("x"))
+    name = F.concat(F.when(F.col("x") == "A", "L").otherwise("l"), F.col("label"))
+    later = F.when(F.col("x") == "A", F.col("label") % 2).otherwise(1 - F.col("label") % 2)
+    entities = made.select(F.concat("x", "label").alias("entity_id"), (2 * F.col("label") + later).alias("entity_ord"), name.alias("name"), F.lower(name).alias("name_key"), F.lit("UNKNOWN").alias("entity_type"))
+    edges = v.select(F.col("vec_id").cast("string").alias("ku_id"), F.lit(0).alias("pos"), F.concat(F.expr("if(vec_id % 2 = 0, 'A', 'B')"), F.col("label")).alias("entity_id"))
+    return G.FactGraph(g.chunks, g.units, entities, edges)
+
+
 @query
 def edges_build(spark: SparkSession, d: str) -> DataFrame:
     return toy_graph(spark, d).edges
@@ -208,7 +225,7 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def lookup_entity_by_name(spark: SparkSession, d: str) -> DataFrame:
     _, mentions = toy_queries(spark, d)
-    return G.entities_by_name(toy_graph(spark, d).entities, mentions).select("query_id", "entity_id")
+    return G.entities_by_name(variant_graph(spark, d).entities, mentions).select("query_id", "entity_id")
 
 
 @query
@@ -224,14 +241,14 @@ def entities_for_ku(spark: SparkSession, d: str) -> DataFrame:
     return g.edges.join(q.select(F.col("query_id").cast("string").alias("ku_id")), "ku_id").select("ku_id", "pos", "entity_id")
 
 
-def _scan(spark: SparkSession, d: str, k: int, only: str = "true") -> DataFrame:
+def _scan(spark: SparkSession, d: str, k: int | None, only: str = "true") -> DataFrame:
     q, _ = toy_queries(spark, d)
     return top_k_scan(q.where(only), toy_graph(spark, d).units, k)
 
 
 @query
 def cosine_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scan(spark, d, ALL).select("query_id", "ku_id", F.round("score", 9).alias("score"))
+    return _scan(spark, d, None).select("query_id", "ku_id", F.round("score", 9).alias("score"))
 
 
 @query
@@ -246,7 +263,7 @@ def cosine_topk_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def entity_anchor(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.entity_anchors(toy_graph(spark, d), toy_queries(spark, d)[1]).select("query_id", "entity_id", "ku_id")
+    return retrieval.entity_anchors(variant_graph(spark, d), toy_queries(spark, d)[1]).select("query_id", "entity_id", "ku_id")
 
 
 @query

@@ -50,9 +50,9 @@ names AS (SELECT lower(term) AS name_key, arg_max(term, {'a': -freq, 'b': first_
 ranked AS (SELECT name_key, name, (row_number() OVER (ORDER BY length(name_key) DESC, o) - 1) // 2000 AS block, len(regexp_extract_all(name_key, '\w+|\W+')) AS n FROM names),
 seg AS (SELECT ku_id, regexp_extract_all(""" + _ASCII.format("content") + r""", '\w+|\W+') AS s FROM ku),
 word AS (SELECT ku_id, s, unnest(range(1, len(s) + 1)) AS i FROM seg),
-begin_at AS (SELECT ku_id, s, i, length(array_to_string(s[1 : i - 1], '')) AS start FROM word WHERE regexp_matches(s[i], '^\w')),
-span AS (SELECT ku_id, start, lower(array_to_string(s[i : i + n - 1], '')) AS span FROM begin_at, (SELECT DISTINCT n FROM ranked) AS l WHERE i + n - 1 <= len(s)),
-hit AS (SELECT ku_id, block, start, length(span) AS z, name FROM span JOIN ranked ON span = name_key),
+begin_at AS (SELECT ku_id, s, i FROM word WHERE regexp_matches(s[i], '^\w')),
+span AS (SELECT ku_id, i AS start, n AS z, lower(array_to_string(s[i : i + n - 1], '')) AS span FROM begin_at, (SELECT DISTINCT n FROM ranked) AS l WHERE i + n - 1 <= len(s)),
+hit AS (SELECT ku_id, block, start, z, name FROM span JOIN ranked ON span = name_key),
 listed AS (SELECT ku_id, block, list({'e': start + z, 'o': [{'s': start, 'name': name}]} ORDER BY start, z DESC) AS m FROM hit GROUP BY 1, 2),
 kept AS (SELECT ku_id, block, unnest(list_reduce(m, lambda a, x: CASE WHEN x.o[1].s >= a.e THEN {'e': x.e, 'o': list_concat(a.o, x.o)} ELSE a END).o) AS x FROM listed),
 once AS (SELECT ku_id, x.name AS name, min({'a': block, 'b': x.s}) AS spot FROM kept GROUP BY 1, 2),
@@ -68,6 +68,11 @@ near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score
 sem AS (SELECT query_id, ku_id FROM near WHERE rank <= 10),
 named AS (SELECT DISTINCT q0.query_id, e.entity_id, e.ku_id FROM q0 JOIN edges e ON lower(e.entity_id) = 'l' || q0.label)"""
 
+#: entities whose names differ in case only; the last in the list has the name
+VARIANTS = """
+variants AS (SELECT DISTINCT label, 'A' || label AS entity_id, 2 * label + label % 2 AS ord FROM v UNION ALL SELECT DISTINCT label, 'B' || label, 2 * label + 1 - label % 2 FROM v),
+won AS (SELECT label, arg_max(entity_id, ord) AS entity_id FROM variants GROUP BY label)"""
+
 
 def _hop(i: int) -> str:
     j = i - 1
@@ -111,7 +116,6 @@ def _text(select: str, *parts: str) -> str:
 
 
 def oracles() -> dict[str, str]:
-    docs = "(SELECT count(*) FROM documents)"
     packed = f"""list_reduce(list_transform({_sentences('text')}, lambda s: {{'d': []::VARCHAR[], 'c': s}}),
       lambda a, x: CASE WHEN a.c = '' THEN {{'d': a.d, 'c': x.c}} WHEN length(a.c) + 1 + length(x.c) <= 1000 THEN {{'d': a.d, 'c': a.c || ' ' || x.c}} ELSE {{'d': list_append(a.d, a.c), 'c': x.c}} END)"""
     merge = "CASE WHEN i = 1 THEN p[i] ELSE right(p[i - 1], 200) || p[i] END"
@@ -130,11 +134,11 @@ def oracles() -> dict[str, str]:
         "vocab_ngrams": _text("SELECT term, count(*) AS freq FROM occ WHERE k > 0 GROUP BY term", WHOLE, OCCURRENCES),
         "vocab_terms": _text("SELECT term, freq FROM terms", WHOLE, OCCURRENCES, _terms("2")),
         "entity_case_dedupe": _text("SELECT lower(term) AS name_key, arg_max(term, {'a': -freq, 'b': first_at}) AS name FROM terms GROUP BY 1", WHOLE, OCCURRENCES, _terms("2")),
-        "entity_link_regex": _text(linked[0], WHOLE, OCCURRENCES, _terms(f"greatest(2, {docs} // 4)"), linked[1], LINKS),
-        "entity_link_span": _text(linked[0], WHOLE, OCCURRENCES, _terms(f"greatest(2, {docs} // 50)"), linked[1], LINKS),
+        "entity_link_regex": _text(linked[0], WHOLE, OCCURRENCES, _terms("2"), linked[1], LINKS.replace("ON span = name_key", "ON span = name_key AND block = 0").replace("FROM ranked) AS l", "FROM ranked WHERE block = 0) AS l")),
+        "entity_link_span": _text(linked[0], WHOLE, OCCURRENCES, _terms("2"), linked[1], LINKS),
         "index_stats": _text(
             "SELECT 'chunks' AS layer, count(*) AS n FROM c UNION ALL SELECT 'knowledge_units', count(*) FROM ku UNION ALL SELECT 'entities', count(*) FROM terms UNION ALL SELECT 'edges', count(*) FROM link",
-            WINDOWS, OCCURRENCES, _terms(f"greatest(2, {docs} // 50)"), UNITS, LINKS,
+            WINDOWS, OCCURRENCES, _terms("2"), UNITS, LINKS,
         ),
         "hash_embedding": r"""WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[^ ]+'))) AS h FROM documents),
             b AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT < 8 THEN 1 ELSE -1 END)::DOUBLE AS x FROM w GROUP BY 1, 2)
@@ -150,13 +154,13 @@ def oracles() -> dict[str, str]:
         "ku_entity_ids": f"WITH {GRAPH} SELECT ku_id, string_agg(entity_id, ',' ORDER BY pos) AS entity_ids FROM edges GROUP BY ku_id",
         "graph_stats": f"""WITH {GRAPH} SELECT 'chunks' AS layer, count(DISTINCT chunk_id) AS n FROM v UNION ALL SELECT 'knowledge_units', count(*) FROM v
             UNION ALL SELECT 'entities', count(DISTINCT entity_id) FROM edges UNION ALL SELECT 'edges', count(*) FROM edges""",
-        "lookup_entity_by_name": f"WITH {GRAPH} SELECT query_id, max(entity_id) AS entity_id FROM named GROUP BY query_id",
+        "lookup_entity_by_name": f"WITH {GRAPH}, {VARIANTS} SELECT query_id, entity_id FROM q0 JOIN won USING (label)",
         "kus_for_entity": f"WITH {GRAPH} SELECT entity_id, ku_id FROM edges WHERE entity_id IN (SELECT entity_id FROM named)",
         "entities_for_ku": f"WITH {GRAPH} SELECT ku_id, pos, entity_id FROM edges WHERE ku_id::BIGINT % 20 = 0",
         "cosine_score": f"WITH {GRAPH} SELECT query_id, ku_id, round(score, 9) AS score FROM scores",
         "cosine_topk": f"WITH {GRAPH} SELECT rank::INT AS rank, ku_id, round(score, 9) AS score FROM near WHERE query_id = 0 AND rank <= 10",
         "cosine_topk_batch": f"WITH {GRAPH} SELECT query_id, rank::INT AS rank, ku_id, round(score, 9) AS score FROM near WHERE rank <= 10",
-        "entity_anchor": f"WITH {GRAPH} SELECT query_id, entity_id, ku_id FROM named",
+        "entity_anchor": f"WITH {GRAPH}, {VARIANTS} SELECT query_id, entity_id, v.ku_id FROM q0 JOIN won USING (label) LEFT JOIN v ON v.label = won.label AND (entity_id[1] = 'A') = (v.vec_id % 2 = 0)",
         "semantic_anchor": f"WITH {GRAPH} SELECT query_id, ku_id, round(score, 9) AS score FROM near WHERE rank <= 5",
         "seed_union": f"WITH {GRAPH} SELECT query_id, ku_id FROM named UNION SELECT query_id, ku_id FROM sem",
         "expand_hop": f"WITH {GRAPH}, {_SEEDED}, {_hop(1)} SELECT query_id, ku_id FROM c1",

@@ -18,8 +18,9 @@ from ..sources.scratch import Scratch
 class FactGraph:
     """Four tables.
 
-    chunks (chunk_id, chunk_ord, doc_id, index, content), units (ku_id, ku_ord, chunk_id, content, embedding, entity_ids),
-    entities (entity_id, name, name_key, entity_type, embedding), edges (ku_id, pos, entity_id; repeats possible).
+    chunks (chunk_id, chunk_ord, doc_id, index, content, metadata), units (ku_id, ku_ord, chunk_id, content, embedding, entity_ids,
+    metadata), entities (entity_id, entity_ord, name, name_key, entity_type, embedding, metadata), edges (ku_id, pos, entity_id;
+    repeats possible).  ``entity_ord`` is an entity's place in the list of all.
     """
 
     chunks: DataFrame
@@ -60,8 +61,9 @@ def graph_stats(graph: FactGraph) -> DataFrame:
     return out
 
 
-def entities_by_name(entities: DataFrame, names: DataFrame, name: str = "name", order: str = "entity_id") -> DataFrame:
-    """For each of ``names`` the entity of that name, ignoring case (not stripped); of several the last in ``order``."""
+def entities_by_name(entities: DataFrame, names: DataFrame, name: str = "name", order: str = "entity_ord") -> DataFrame:
+    """For each of ``names`` the entity of that name, ignoring case (not stripped); of several the last in ``order``, which is
+    the one that linking gives a name's units to."""
     known = entities.groupBy("name_key").agg(F.max_by("entity_id", order).alias("entity_id"))
     asked = names.withColumn("name_key", F.lower(F.col(name)))
     return asked.join(known, "name_key").drop("name_key")
@@ -103,5 +105,16 @@ def build_graph(scratch: Scratch, chunks: DataFrame, units: DataFrame, entities:
     if parallel > 1:
         units, entities = units.repartition(parallel), entities.repartition(parallel)
     vectors = scratch.save(embed(units.drop("embedding"), "content", model, batch_size))
-    named = scratch.save(embed(entities.select("entity_id", "name", "name_key", "entity_type"), "name", model, batch_size))
-    return FactGraph(scratch.save(chunks), scratch.save(unit_entity_lists(vectors, edges)), named, edges)
+    named = scratch.save(embed(entities.select("entity_id", "entity_ord", "name", "name_key", "entity_type"), "name", model, batch_size))
+    return FactGraph(scratch.save(chunks), scratch.save(_noted(unit_entity_lists(vectors, edges))), named, edges)
+
+
+def _noted(units: DataFrame) -> DataFrame:
+    """``units`` with what is known of their extraction as ``metadata``."""
+    notes = []
+    if "extraction_method" in units.columns:
+        notes = [F.lit("extraction_method"), F.col("extraction_method"), F.lit("matched_entities"), F.size(F.array_distinct("entity_ids")).cast("string")]
+    if "raw_entities" in units.columns:
+        notes = [F.lit("raw_entities"), F.to_json("raw_entities")]
+    made = F.create_map(*notes) if notes else F.create_map().cast("map<string,string>")
+    return units.withColumn("metadata", made).drop("extraction_method", "raw_entities")

@@ -3,15 +3,21 @@
 import importlib
 import json
 import os
+import shutil
+import subprocess
 import sys
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from factloom import IndexPipeline, LoomConfig, RetrievePipeline, SearchResult, catalog
 from factloom.models import HashEmbedding, RuleModel
-from factloom.sources.storage import JsonStorage, TableStorage
+from factloom.operators.retrieval import entity_anchors
+from factloom.sources.documents import from_table
+from factloom.sources.storage import JdbcStorage, JsonStorage, TableStorage, from_dict, to_dict
 from factloom.streaming.incremental import index_stream
 
 DATA = "/root/testdata/sf0.001"
@@ -69,6 +75,52 @@ def test_storage_round_trip(spark, tmp_path):
     distinct = {**graph.stats(), "edges": graph.edges.select("ku_id", "entity_id").distinct().count()}
     assert tables.load().stats() == distinct and single.load().stats() == graph.stats()
     assert sorted(map(str, single.load().units.collect())) == sorted(map(str, tables.load().units.collect()))
+    again = from_dict(spark, json.loads(json.dumps(to_dict(graph))))
+    for name in ("chunks", "units", "entities", "edges"):
+        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(single.load(), name).collect()))
+    notes = [r["metadata"] for r in graph.units.collect()]
+    assert all(n["extraction_method"] == "regex_split" for n in notes) and sum(int(n["matched_entities"]) for n in notes) == distinct["edges"]
+
+
+def test_postgresql_statements(spark):
+    said, written = [], {}
+
+    class Faked(JdbcStorage):
+        def execute(self, statements):
+            said.extend(statements)
+
+        def write(self, table, name, mode):
+            written[name] = table.columns, table.count(), dict(table.dtypes)
+
+    graph = build(spark, "sentence")
+    Faked(spark, "jdbc:postgresql://host/base", "facts").save(graph)
+    assert said[0] == "CREATE SCHEMA IF NOT EXISTS facts"
+    assert any('"embedding" FLOAT8[]' in x and 'PRIMARY KEY ("ku_id")' in x for x in said) and any('PRIMARY KEY ("ku_id", "entity_id")' in x for x in said)
+    names = {n.rsplit("_", 1)[0]: n for n in written}
+    assert set(names) == {"chunks", "units", "entities", "edges"} and written[names["units"]][2]["metadata"] == "string"
+    for short, long in names.items():
+        insert = next(x for x in said if x.startswith(f"INSERT INTO facts.{short} "))
+        assert insert.endswith(f"FROM facts.{long} ON CONFLICT DO NOTHING") and f"DROP TABLE facts.{long}" in said
+    assert written[names["chunks"]][1] == graph.stats()["chunks"]
+
+
+def test_every_linked_name_anchors_to_its_units(spark):
+    """Words in both spellings: whichever is rarer, a look-up by name leads to the entity that got the units."""
+    words = [f"Quill{c}" for c in "abcdefghij"]
+    text = " ".join(f"Please see {w} now. " * (2 + i % 3) + f"And take {w.lower()} here. " * (2 + (i + 1) % 3) for i, w in enumerate(words))
+    graph = IndexPipeline(spark, RuleModel(), HashEmbedding(), LoomConfig(ku_extraction_method="sentence")).run([text])
+    found = entity_anchors(graph, spark.createDataFrame([(i, w.upper()) for i, w in enumerate(words)], "query_id int, name string"))
+    units = {r["query_id"]: r["n"] for r in found.where("ku_id is not null").groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+    assert all(units.get(i, 0) >= (2 + i % 3) + (2 + (i + 1) % 3) for i in range(10)), units
+
+
+@pytest.mark.parametrize("key", ["string", "bigint"])
+def test_documents_of_any_key(spark, key):
+    ids = ["x-1", "x-2"] if key == "string" else [2**62, -(2**62)]
+    table = spark.createDataFrame([(i, DOCS[k]["text"], {"page": str(k)}) for k, i in enumerate(ids)], f"doc_id {key}, text string, metadata map<string,string>")
+    graph = IndexPipeline(spark, None, HashEmbedding(), LoomConfig(ku_extraction_method="sentence")).run(from_table(table))
+    rows = graph.chunks.collect()
+    assert {r["doc_id"] for r in rows} == set(map(str, ids)) and {r["metadata"]["page"] for r in rows} == {"0", "1"} and graph.stats()["edges"] > 0
 
 
 def test_settings(tmp_path, monkeypatch):
@@ -141,6 +193,22 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("gone", [("factloom/llm", "tests/llm"), ("factloom/llm", "tests/llm", "corpus_pipeline.py")])
+def test_entry_of_a_copy_without_the_corpus_operators(tmp_path, gone):
+    root = Path(__spark_entry__.__file__).resolve().parent
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for x in gone:
+        at = tmp_path / "copy" / x
+        if at.is_dir():
+            shutil.rmtree(at)
+        else:
+            at.unlink(missing_ok=True)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"], cwd=tmp_path / "copy", env=env, capture_output=True, text=True, check=True)
+    names, sql = said.stdout.strip().split("\n")
+    assert set(names.split()) == set(catalog.QUERIES) and set(sql.split()) == set(catalog.ORACLES)
+
+
 def test_entry_without_the_optional_modules(monkeypatch):
     for gone in ("factloom.llm", "factloom.llm.queries", "corpus_pipeline"):
         monkeypatch.setitem(sys.modules, gone, None)
