@@ -110,7 +110,7 @@ def test_every_linked_name_anchors_to_its_units(spark):
     # no other word comes twice, so no longer term takes a name's place
     forms = [(w, 2 + i % 3) for i, w in enumerate(words)] + [(w.lower(), 2 + (i + 1) % 3) for i, w in enumerate(words)]
     text = " ".join(f"ab{w}{k}c {w} de{w}{k}f." for w, n in forms for k in range(n))
-    graph = IndexPipeline(spark, RuleModel(), HashEmbedding(), LoomConfig(ku_extraction_method="sentence")).run([text])
+    graph = IndexPipeline(spark, RuleModel(), HashEmbedding(), LoomConfig(ku_extraction_method="sentence", chunk_size=100_000)).run([text])
     found = entity_anchors(graph, spark.createDataFrame([(i, w.upper()) for i, w in enumerate(words)], "query_id int, name string"))
     units = {r["query_id"]: r["n"] for r in found.where("ku_id is not null").groupBy("query_id").agg(F.count("*").alias("n")).collect()}
     assert all(units.get(i, 0) >= (2 + i % 3) + (2 + (i + 1) % 3) for i in range(10)), units
