@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,9 +20,11 @@ _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where that is unset, a folder of our own in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,6 +73,28 @@ class Scratch:
             _delete(self.spark, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to as many tasks as the session has cores where it is stored in fewer pieces (one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn``, after which a Python worker gives the memory that it no longer needs back: workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library: nothing to trim
+                pass
+
+    return run
+
+
 def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` (a saved table, so counting reads only footers) hinted for broadcast if it is small; else left to shuffle.
 
@@ -105,8 +130,8 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.Rec
         if held:
             yield from fn(pa.Table.from_batches(held))
 
-    spread = df.repartition(parts, key) if parts else df.repartition(key)
-    return spread.sortWithinPartitions(key).mapInArrow(run, schema)
+    dealt = df.repartition(parts, key) if parts else df.repartition(key)
+    return dealt.sortWithinPartitions(key).mapInArrow(lean(run), schema)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

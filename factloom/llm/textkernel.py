@@ -34,6 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Words are hashed in pieces of about so many bytes, whatever a row's length, so that working arrays stay small.
+PIECE = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -42,7 +44,9 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), base, U64)
         have[0] = 1
-        have = _powers[name] = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if n <= PIECE:  # a single word of more is not worth keeping a table for
+            _powers[name] = have
     return have[:n]
 
 
@@ -91,6 +95,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     """A 64-bit hash of each word, A-Z lower-cased first if ``fold``."""
     if not len(starts):
         return np.zeros(0, U64)
+    if len(data) > PIECE and len(starts) > 1:
+        edges = np.flatnonzero(np.diff(starts // PIECE)) + 1  # a piece's last word may be longer than the piece: it goes alone
+        cuts = np.unique(np.concatenate([[0], edges - 1, edges, [len(starts) - 1, len(starts)]]))
+        out = np.empty(len(starts), U64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            lo, hi = int(starts[a]), int(ends[b - 1])
+            out[a:b] = _hash_words(data[lo:hi], starts[a:b] - lo, ends[a:b] - lo, fold)
+        return out
+    return _hash_words(data, starts, ends, fold)
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
     with np.errstate(over="ignore"):
         run = (_BYTE_FOLDED if fold else _BYTE)[data]
         run *= _power(_MULT, "up", len(data))

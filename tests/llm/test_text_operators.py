@@ -10,7 +10,7 @@ import pytest
 
 from factloom.llm import textkernel as K
 from factloom.llm.common import Scratch, components
-from factloom.llm.exact_dedup import exact_groups
+from factloom.llm.exact_dedup import exact_groups, named_rows
 from factloom.llm.jaccard_join import jaccard_components, link_matrix_parts
 from factloom.llm.substring_dedup import _signatures, _tokens, _verify, compact_windows, interval_join, name_tokens, repeated_passages, run_hashes, shared_runs, sliding_min
 
@@ -156,6 +156,17 @@ def test_exact_dedup_equals_brute_force(spark, block):
     assert len(kept) == len({r["text_sha256"] for r in got}) and all(r["doc_id"] == r["keep_id"] for r in kept)
 
 
+def test_exact_dedup_where_hashes_collide(spark):
+    """With a hash that says nothing, blocks are named by their bytes."""
+    rows = [(1, "aaabbb"), (2, "aaabbb"), (3, "aaabbc"), (4, "aaa"), (5, ""), (6, None), (7, "aaabbbaaa"), (8, "aaabbbaaa"), (9, "ccc")]
+    scratch = Scratch(spark, "test")
+    texts = spark.createDataFrame([(i, i, "", t or "") for i, t in rows], "row long, id long, sha string, text string")
+    named = named_rows(scratch, texts, 3, lambda b: F.struct(F.lit(7).cast("long").alias("h"), F.length(b).cast("long").alias("g"))).collect()
+    by = {r["row"]: (r["n"], r["name"]) for r in named}
+    assert len(named) == len(rows)
+    assert all((by[i] == by[j]) == ((s or "") == (t or "")) for i, s in rows for j, t in rows)
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_groups(spark, frame(spark, [])).collect() == []
 
