@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom.llm.language_id import identify_languages
 from factloom.llm.queries import PIECE_MODEL
 from factloom.llm.quality import fit_ranking, score_quality
-from factloom.llm.sentencepiece_scan import best_states, compose, encode_documents, encode_giant, pieces_of
+from factloom.llm.sentencepiece_scan import best_states, compose, encode_documents, encode_giant, mark, pieces_of, product, steps_of, transfer
 from factloom.llm.toxicity import RIDGE, _newton_step, fit_severity, grade_toxicity
 
 ENDINGS = {"aa": "tion ing the and ness".split(), "bb": "keit ung sch ich ü".split(), "cc": "eau oix é que ment".split()}
@@ -201,6 +201,24 @@ def test_scan_equals_the_library(chunk):
         t = "".join(rng.choice(alphabets[k % 5]) for _ in range(rng.randrange(1, 700)))
         ids = encode_giant(p, t, chunk)
         assert ids == p.sp.encode(t) and p.decode(ids) == t.encode()
+        t = "".join(c + rng.choice(["", "", "", " ", "▁"]) for c in t)
+        ids = encode_giant(p, t, chunk)
+        assert ids == p.encode([t])[0] and p.decode(ids) == t.encode()
+
+
+def test_cuts_have_several_states_and_matrices_decide():
+    """On prose nearly every cut has several states, and a wrong one would give other ids."""
+    p, rng = pieces_of(PIECE_MODEL), random.Random(5)
+    text = mark(" ".join(rng.choice("international understanding of the parallel computation".split()) for _ in range(300)))
+    steps = steps_of(text, 97)
+    matrices = [transfer(p, text, a, b) for a, b in steps]
+    assert np.mean([m.shape[1] > 1 for m in matrices[:-1]]) > 0.9
+    assert any((np.isfinite(m).sum() < m.size) for m in matrices)
+    for fan in (2, 3):
+        now = matrices
+        while len(now) > 1:
+            now = [product(now[i : i + fan]) for i in range(0, len(now), fan)]
+        assert np.isclose(now[0][0, 0], product(matrices)[0, 0])
 
 
 def test_products_are_associative():
@@ -215,8 +233,9 @@ def test_giant_documents_over_tasks(spark):
     p, rng = pieces_of(PIECE_MODEL), random.Random(3)
     texts = [*SAMPLES, None, "".join(rng.choice("日本語の中文字符的") for _ in range(900)), " ".join("w%d" % rng.randrange(10**6) for _ in range(400)), "x" * 800, "▁ y" * 300]
     rows = [(i, t, "n") for i, t in enumerate(texts)] + [(None, texts[-2], "n"), (3, texts[3], "n")]
-    got = encode_documents(spark, spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), PIECE_MODEL, giant=300, chunk=100).collect()
+    got = encode_documents(spark, spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), PIECE_MODEL, giant=300, chunk=100, fan=3).collect()
     assert len(got) == len(rows) and all(r["round_trip"] for r in got)
+    assert all((r["scan_states"] > 0) == (len(rows[r["doc_id"]][1] or "") > 300 if r["doc_id"] is not None else True) for r in got)
     for r in got:
         t = rows[r["doc_id"]][1] if r["doc_id"] is not None else texts[-2]
         ids = p.encode([t or ""])[0]
