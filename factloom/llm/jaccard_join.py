@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import Scratch, components, map_groups, maybe_broadcast
+from .common import Scratch, components, lean, map_groups, maybe_broadcast, spread
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked: DEN * intersection >= NUM * union
@@ -68,7 +68,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                         n[i], fp[i] = len(grams), fingerprint(grams)
             yield pa.record_batch({"id": batch.column(0), "n": n, "fp": fp})
 
-    return docs.mapInArrow(run, f"id {docs.dtypes[0][1]}, n long, fp long")
+    return docs.mapInArrow(lean(run), f"id {docs.dtypes[0][1]}, n long, fp long")
 
 
 def _lowest(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -92,7 +92,7 @@ def _lowest(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     looks = [len(k) for k in keys]
                     yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "fp": np.repeat(np.array(names, np.int64), looks), "n": np.repeat(np.array(sizes, np.int32), looks)})
 
-    return docs.mapInArrow(run, "key long, fp long, n int")
+    return docs.mapInArrow(lean(run), "key long, fp long, n int")
 
 
 def _regions(scratch: Scratch, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -119,7 +119,7 @@ def _regions(scratch: Scratch, docs: DataFrame, size: int, num: int, den: int) -
             yield pa.record_batch({"fp": pa.array(fps, pa.int64()), "n": pa.array(ns, pa.int32()), "regions": pa.array(kept, pa.list_(pa.int64()))})
 
     # a class has at most as many pivots as looked-at shingles, so the list is bounded by its own text
-    return scratch.save(met.groupBy("fp", "n").agg(F.collect_list(F.struct("pivot", "c")).alias("found")).mapInArrow(run, "fp long, n int, regions array<long>"))
+    return scratch.save(met.groupBy("fp", "n").agg(F.collect_list(F.struct("pivot", "c")).alias("found")).mapInArrow(lean(run), "fp long, n int, regions array<long>"))
 
 
 def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -239,7 +239,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     a component of such rows only has a null one.  Other columns are not read.
     """
     scratch = Scratch(spark, "jaccard")
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     points = scratch.save(_sets(named, shingle))
     classes = scratch.save(points.where("n > 0").groupBy("fp").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.first("n").alias("n")))
     spots = _regions(scratch, named.select("text"), shingle, num, den)
@@ -265,7 +265,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     stands = scratch.save(classes.join(only, "fp", "left_semi").select(F.col("least").alias("id"), "fp"))
     texts = named.join(maybe_broadcast(stands.select("id").distinct(), 24), "id", "left_semi") if dict(points.dtypes)["id"] != "void" else named
     unnamed = named.where("id is null")
-    sets = texts.unionByName(unnamed).select("text").mapInArrow(grams, "fp long, grams array<long>").dropDuplicates(["fp"])
+    sets = texts.unionByName(unnamed).select("text").mapInArrow(lean(grams), "fp long, grams array<long>").dropDuplicates(["fp"])
     full = rows.join(sets, "fp")
     one = F.sequence(F.lit(0), F.col("blocks") - 1)
     full = full.withColumn("other", F.explode(one)).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("other", "blocks")

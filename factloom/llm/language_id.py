@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import Scratch
+from .common import Scratch, lean, spread
 from .learn import labelled_sample, remainder
 
 PER_LANGUAGE = 600  # labelled texts of each language that the regression sees
@@ -117,7 +117,7 @@ def fit_languages(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> Lan
             yield pa.record_batch({"gram": [gram.tobytes()], "cross": [cross.tobytes()], "n": [n]})
 
     gram, cross, n = np.zeros((width, width)), np.zeros((width, len(languages))), 0
-    for r in sample.select("id", "label", "text").mapInArrow(sums, "gram binary, cross binary, n long").toLocalIterator():
+    for r in sample.select("id", "label", "text").mapInArrow(lean(sums), "gram binary, cross binary, n long").toLocalIterator():
         gram += np.frombuffer(r["gram"]).reshape(gram.shape)
         cross += np.frombuffer(r["cross"]).reshape(cross.shape)
         n += r["n"]
@@ -133,7 +133,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     there is nothing to learn from.  Rows that repeat are scored alike.  Other columns are not read.
     """
     scratch = Scratch(spark, "language")
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    named = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     named = named.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     model = fit_languages(spark, scratch, named.where((remainder(F.col("id"), 3) != 1) & F.col("letter") & F.col("lang").isNotNull()).drop("letter"))
     shipped = spark.sparkContext.broadcast(model)
@@ -153,5 +153,5 @@ def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
             yield pa.record_batch({"id": batch.column(0), "held_out": batch.column(1), "lang_pred": names.take(pa.array(np.where(best < 0, len(names) - 1, best))), "score": sure})
 
     held = F.coalesce(remainder(F.col("id"), 3) == 1, F.lit(False)).alias("held_out")
-    out = named.select("id", held, "text", "letter").mapInArrow(score, f"id {named.dtypes[0][1]}, held_out boolean, lang_pred string, score double")
+    out = named.select("id", held, "text", "letter").mapInArrow(lean(score), f"id {named.dtypes[0][1]}, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import Scratch, map_groups, maybe_broadcast
+from .common import Scratch, lean, map_groups, maybe_broadcast, spread
 
 SHINGLE = 5
 HASHES = 4
@@ -261,7 +261,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     """
     scratch = Scratch(spark, "passages")
     shortest = max(least, words - shingle + 1)  # a shorter document has no passage and must not become a pivot
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,11 +305,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
                         key = K.mix(value + seed).view(np.int64)
                     yield pa.record_batch({"key": key, "fp": np.array(names, np.int64)[owner], "j": np.full(len(key), j, np.int8), "l": left.astype(np.int32), "r": right.astype(np.int32)})
 
-    rows = scratch.save(named.mapInArrow(points, f"id {named.dtypes[0][1]}, n int, fp long"))
+    rows = scratch.save(named.mapInArrow(lean(points), f"id {named.dtypes[0][1]}, n int, fp long"))
     sizes = scratch.save(rows.where(F.col("n") >= words).groupBy("fp").agg(F.count("*").alias("weight"), F.max("n").alias("n"), F.min("id").alias("least")))
-    keys = named.select("text").mapInArrow(signatures, "key long, fp long").groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other"))
+    keys = named.select("text").mapInArrow(lean(signatures), "key long, fp long").groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other"))
     keys = scratch.save(keys.where("pivot <> other").select("key", "pivot"))
-    met = scratch.save(named.select("text").mapInArrow(windows, "key long, fp long, j byte, l int, r int").join(keys, "key"))
+    met = scratch.save(named.select("text").mapInArrow(lean(windows), "key long, fp long, j byte, l int, r int").join(keys, "key"))
     # all windows of a document that met a pivot: boundedly many, by its text
     mine = met.where("fp <> pivot").groupBy("fp").agg(F.collect_list(F.struct("j", "l", "r", "pivot")).alias("w"))
 
@@ -323,7 +323,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
                     out.append({"fp": fp, "pivot": p, "lo": [max(0, x - words) for x, _ in spans], "hi": [y + words + 1 for _, y in spans]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("fp", pa.int64()), ("pivot", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))]))
 
-    pairs = scratch.save(mine.mapInArrow(candidates, "fp long, pivot long, lo array<int>, hi array<int>"))
+    pairs = scratch.save(mine.mapInArrow(lean(candidates), "fp long, pivot long, lo array<int>, hi array<int>"))
     stars = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     stars = scratch.save(stars)
     members = pairs.join(maybe_broadcast(stars, 40), "pivot").select("fp", F.col("pivot").alias("star"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("part"), "lo", "hi")
@@ -354,12 +354,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             yield pa.record_batch({"task": batch.column(1).take(pa.array(row)), "star": batch.column(2).take(pa.array(row)), "fp": batch.column(0).take(pa.array(row)), "base": pa.array(base, pa.int32()), "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*pieces, np.zeros(0, np.int32)])))})
 
     texts = named.join(maybe_broadcast(wanted.select("id").distinct(), 24), "id", "left_semi").unionByName(named.where("id is null"))
-    tokens = scratch.save(texts.select("text").mapInArrow(tokens_of, "fp long, tokens array<int>").dropDuplicates(["fp"]))
+    tokens = scratch.save(texts.select("text").mapInArrow(lean(tokens_of), "fp long, tokens array<int>").dropDuplicates(["fp"]))
 
     def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
         return _verify(table, shingle, words, gap, share)
 
-    parts = seats.join(tokens, "fp").select("fp", "task", "star", "lo", "hi", "tokens").mapInArrow(cut, "task long, star long, fp long, base int, tokens array<int>")
+    parts = seats.join(tokens, "fp").select("fp", "task", "star", "lo", "hi", "tokens").mapInArrow(lean(cut), "task long, star long, fp long, base int, tokens array<int>")
     found = scratch.save(map_groups(parts, "task", verify, "fp long, start int, end int").distinct())
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,8 +386,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
 
     stretches = pairs.select("fp", F.arrays_zip("lo", "hi").alias("w")).groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_set("w"))).alias("w"))
     confirmed = found.groupBy("fp").agg(F.collect_list(F.struct("start", "end")).alias("done"))
-    hashed = tokens.join(stretches, "fp").join(confirmed, "fp", "left").select("fp", "tokens", "w", "done").mapInArrow(runs, "h long, fp long, at int")
-    beyond = scratch.save(hashed.repartition("h").sortWithinPartitions("h").mapInArrow(shared_runs, "fp long, at int"))
+    hashed = tokens.join(stretches, "fp").join(confirmed, "fp", "left").select("fp", "tokens", "w", "done").mapInArrow(lean(runs), "h long, fp long, at int")
+    beyond = scratch.save(hashed.repartition("h").sortWithinPartitions("h").mapInArrow(lean(shared_runs), "fp long, at int"))
     found = found.unionByName(map_groups(beyond, "fp", join_runs, "fp long, start int, end int"))
     copies = sizes.where("weight > 1").select("fp", F.lit(0).alias("start"), F.col("n").alias("end"))
     spans = found.unionByName(copies).groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import Scratch
+from .common import Scratch, lean, spread
 from .learn import labelled_sample, letter_runs
 
 PER_LABEL = 4000  # labelled rows of each label that the regression sees
@@ -155,7 +155,7 @@ def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
     those that are graded, so their own grades are no measure of the model; the tests hold back half of the labels.
     """
     scratch = Scratch(spark, "toxicity")
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
                 cut = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.record_batch({"label": pa.array(labels[lo:hi], pa.int32()), "buckets": pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))})
 
-    sample = labelled_sample(scratch, named, known, PER_LABEL).orderBy("id", "label").select("label", "text").mapInArrow(represent, "label int, buckets array<int>").toArrow()
+    sample = labelled_sample(scratch, named, known, PER_LABEL).orderBy("id", "label").select("label", "text").mapInArrow(lean(represent), "label int, buckets array<int>").toArrow()
     buckets = sample.column("buckets").combine_chunks() if len(sample) else None
     model = None
     if buckets is not None:
@@ -188,4 +188,4 @@ def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
                     severity[lo + has], grade[lo + has] = found[0][has], found[1][has]
             yield pa.record_batch({"id": batch.column(0), "severity": severity, "grade": grade, "toxic": pa.array(severity >= FLAG)})
 
-    return named.mapInArrow(score, f"id {named.dtypes[0][1]}, severity double, grade int, toxic boolean").withColumnRenamed("id", id_col)
+    return named.mapInArrow(lean(score), f"id {named.dtypes[0][1]}, severity double, grade int, toxic boolean").withColumnRenamed("id", id_col)

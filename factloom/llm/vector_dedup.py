@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, maybe_broadcast
+from .common import Scratch, components, lean, maybe_broadcast, spread
 
 NEAR = 5
 MOST_PIVOTS = 1024
@@ -143,7 +143,7 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
             yield pa.record_batch({"id": batch.column(0), "fp": pa.array(batch.column(1).to_numpy(), mask=~ok)})
 
     hashed = named.select("id", F.xxhash64("v").alias("fp"), "v")
-    points = scratch.save(hashed.mapInArrow(check, f"id {named.dtypes[0][1]}, fp long"))
+    points = scratch.save(hashed.mapInArrow(lean(check), f"id {named.dtypes[0][1]}, fp long"))
     classes = scratch.save(points.where("fp is not null").groupBy("fp").agg(F.count("*").alias("weight"), F.min("id").alias("least")))
     n = classes.count()
     most = int(min(MOST_PIVOTS, max(64, 1.5 * n**0.5)))
@@ -168,7 +168,7 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
                     lists = [(k, pa.array(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32))) for k in (top.astype(np.int16), list_keys(top, len(pivots)))]
                     yield pa.record_batch({"fp": part.column(0).filter(pa.array(ok)), "v": part.column(1).filter(pa.array(ok)), **{c: pa.ListArray.from_arrays(at, pa.array(k.reshape(-1))) for c, (k, at) in zip(("top", "keys"), lists)}})
 
-    described = scratch.save(hashed.select("fp", "v").mapInArrow(index, f"fp long, v {kind}, top array<short>, keys array<long>").dropDuplicates(["fp"]))
+    described = scratch.save(hashed.select("fp", "v").mapInArrow(lean(index), f"fp long, v {kind}, top array<short>, keys array<long>").dropDuplicates(["fp"]))
     lists = described.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = scratch.save(lists.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
     # a vector travels once for each of its lists that has another vector
@@ -218,7 +218,7 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    found = scratch.save(sorted_rows.mapInArrow(verify, "fp long, links long, root long"))
+    found = scratch.save(sorted_rows.mapInArrow(lean(verify), "fp long, links long, root long"))
     roots = components(scratch, found.select(F.col("fp").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "fp")
     near = classes.join(found.groupBy("fp").agg(F.sum("links").alias("links")), "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     near = scratch.save(near)
