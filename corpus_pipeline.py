@@ -3,7 +3,7 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 reread as the next one's docs.  All but the last return the columns of ``documents`` as they came, whatever those are
 called.  A stage's decisions are joined back by doc_id; where an id repeats, rows of one id share a decision except that
-exact dedup also tells their texts apart.
+exact dedup decides row by row.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from factloom.llm.queries import PIECE_MODEL
 from factloom.llm.sentencepiece_scan import encode_documents
 
 
+ROW = "__row_of_stage"  # a number of each row, while a stage runs
 DRAW = 1  # seed of the mixing stage's draws
 
 
@@ -43,21 +44,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts the row of the largest id stays, once."""
+    """Of identical texts, those whose blocks have the same names, the row of the largest id stays, once."""
     scratch = Scratch(spark, "stage")
-    found = scratch.save(exact_groups(spark, docs).where("group_size > 1").select(F.col("doc_id").alias("_id"), "kept", F.col("text_sha256").alias("_sha")))
-    texts = found.groupBy("_id", "_sha").agg(F.max(F.col("kept").cast("int")).alias("stays"), F.count("*").alias("rows"))
-    texts = scratch.save(texts)
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    gone = scratch.save(texts.where("stays = 0").select("_id", "_sha"))
-    left = docs.join(maybe_broadcast(gone, 100), docs["doc_id"].eqNullSafe(gone["_id"]) & (sha == gone["_sha"]), "left_anti")
-    twice = scratch.save(texts.where("stays = 1 and rows > 1").select("_id", "_sha"))
-    if twice.isEmpty():
-        return left
-    # repeated rows: equal id and equal text, of which one stays
-    again = maybe_broadcast(twice, 100)
-    same = left["doc_id"].eqNullSafe(again["_id"]) & (F.sha2(F.coalesce(left["text"], F.lit("")), 256) == again["_sha"])
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows = scratch.save(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    gone = scratch.save(exact_groups(spark, rows, row_col=ROW).where("not kept").select(ROW))
+    return rows.join(maybe_broadcast(gone, 8), ROW, "left_anti").drop(ROW)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
