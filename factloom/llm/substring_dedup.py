@@ -311,7 +311,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     keys = scratch.save(keys.where("pivot <> other").select("key", "pivot"))
     met = scratch.save(named.select("text").mapInArrow(lean(windows), "key long, fp long, j byte, l int, r int").join(keys, "key"))
     # all windows of a document that met a pivot: boundedly many, by its text
-    mine = met.where("fp <> pivot").groupBy("fp").agg(F.collect_list(F.struct("j", "l", "r", "pivot")).alias("w"))
+    mine = met.groupBy("fp").agg(F.collect_list(F.struct("j", "l", "r", "pivot")).alias("w"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,13 +324,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("fp", pa.int64()), ("pivot", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))]))
 
     pairs = scratch.save(mine.mapInArrow(lean(candidates), "fp long, pivot long, lo array<int>, hi array<int>"))
-    stars = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    stars = pairs.where("fp <> pivot").groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     stars = scratch.save(stars)
-    members = pairs.join(maybe_broadcast(stars, 40), "pivot").select("fp", F.col("pivot").alias("star"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("part"), "lo", "hi")
+    members = pairs.where("fp <> pivot").join(maybe_broadcast(stars, 40), "pivot").select("fp", F.col("pivot").alias("star"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("part"), "lo", "hi")
     whole = F.array(F.lit(0)).alias("lo"), F.array(F.lit(2**31 - 1)).alias("hi")
     centres = stars.select(F.col("pivot").alias("fp"), F.col("pivot").alias("star"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *whole)
     seats = scratch.save(members.unionByName(centres).withColumn("task", F.xxhash64("star", "part")))
-    wanted = sizes.join(seats.select("fp").distinct(), "fp", "left_semi")
+    # a pivot's own stretches are candidates too: another document can share one that its star does not confirm
+    wanted = sizes.join(seats.select("fp").unionByName(pairs.select("fp")).distinct(), "fp", "left_semi")
     wanted = scratch.save(wanted.select(F.col("least").alias("id"), "fp"))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

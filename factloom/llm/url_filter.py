@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean, spread
 from .textkernel import U64, mix
 
-#: A cascade is shipped to every task, so its levels may have so many bytes; a longer list is split by key hash first.
+#: A cascade is shipped to every task, so it may have about so many bytes; a longer list is split by key hash into several, which
+#: are built and shipped one after another.
 MOST_BYTES = 64_000_000
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -76,8 +77,6 @@ def build_cascade(spark: SparkSession, universe: DataFrame, scratch: Scratch) ->
         rate = min(0.5, max(1e-6, math.sqrt(0.5) * inside / max(1, outside))) if not level else 0.5
         k = max(1, round(math.log2(1 / rate)))
         bits = max(64, math.ceil(inside * k / math.log(2) / 64) * 64)
-        if cascade.nbytes + bits // 8 > MOST_BYTES:
-            raise ValueError(f"{inside} keys need more than {MOST_BYTES} bytes: split the list by key hash")
 
         def words(batches: Iterator[pa.RecordBatch], level: int = level, k: int = k, bits: int = bits) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -126,49 +125,56 @@ def candidate_keys(host: Column, path: Column, rules: Sequence[str]) -> Column:
     return F.array_sort(found, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
-def judge_urls(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, default: str = "allow") -> DataFrame:
+def judge_urls(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, default: str = "allow", most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict.
 
     A rule ``host/path`` fits its host and all subdomains if the url's path starts with the rule's; the longest that
     fits decides.  Where none fits the url is on no list: rule is null and the verdict ``default``.  A null url, one
     without ``://`` and an empty one have host and path empty, which no rule fits.  Repeated rows are judged alike;
-    other columns are not read.
+    other columns are not read.  An empty table gives no rows; a very long url is read whole.
     """
     scratch = Scratch(spark, "urls")
     host, path = host_and_path(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    urls = spread(pages).select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), [r for r, _ in rules]))
     listed = spark.createDataFrame([(r, v == "block") for r, v in rules], "key string, block boolean")
     h1, h2 = hashes(F.col("key"))
-    # the universe: every key of the corpus, each once, and the list itself
-    universe = urls.select(F.explode("keys").alias("key")).unionByName(listed.select("key")).distinct()
-    universe = scratch.save(universe.join(F.broadcast(listed), "key", "left").select(h1.alias("h1"), h2.alias("h2"), F.col("block").isNotNull().alias("listed"), "block"))
-    on_list = build_cascade(spark, universe.select("h1", "h2", "listed"), scratch)
-    blocked = build_cascade(spark, universe.where("listed").select("h1", "h2", F.col("block").alias("listed")), scratch)
-    shipped = spark.sparkContext.broadcast((on_list.levels, blocked.levels))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = [Cascade(x) for x in shipped.value]
-        for batch in batches:
-            keys, one, two = (batch.column(i) for i in (3, 4, 5))
-            count = np.diff(keys.offsets.to_numpy())
-            owner = np.repeat(np.arange(batch.num_rows), count)
-            a, b = one.flatten().to_numpy(), two.flatten().to_numpy()
-            flat = keys.flatten()
-            hit = np.flatnonzero(lists[0].holds(a, b))
-            rows, first = np.unique(owner[hit], return_index=True)
-            first = hit[first]
-            rule = np.full(batch.num_rows, -1)
-            rule[rows] = first
-            block = np.zeros(batch.num_rows, bool)
-            block[rows] = lists[1].holds(a[first], b[first])
-            found = pa.array(rule, mask=rule < 0)
-            verdict = np.where(rule < 0, default, np.where(block, "block", "allow"))
-            yield pa.record_batch({"id": batch.column(0), "host": batch.column(1), "path": batch.column(2), "rule": flat.take(found), "verdict": pa.array(verdict.tolist(), pa.string())})
-
-    hashed = urls.withColumns({"one": F.transform("keys", lambda k: hashes(k)[0]), "two": F.transform("keys", lambda k: hashes(k)[1])})
-    out = hashed.mapInArrow(judge, f"id {urls.dtypes[0][1]}, host string, path string, rule string, verdict string")
-    return out.withColumnRenamed("id", id_col)
+    # the universe: every key of the corpus, each once, and the list itself, which labels its own
+    keys = urls.select(F.explode("keys").alias("key"), F.lit(False).alias("listed"), F.lit(False).alias("block"))
+    universe = keys.unionByName(listed.select("key", F.lit(True).alias("listed"), "block")).groupBy("key").agg(F.max("listed").alias("listed"), F.max("block").alias("block"))
+    universe = scratch.save(universe.select(h1.alias("h1"), h2.alias("h2"), "listed", "block"))
+    counts = universe.agg(F.count("*").alias("all"), F.count(F.when(F.col("listed"), 1)).alias("inside")).first()
+    bits = counts["inside"] * (max(1.0, math.log2(max(2, counts["all"]) / max(1, counts["inside"])) + 1) + 3) / math.log(2)
+    parts = max(1, math.ceil(bits / 8 / most_bytes))
+    state = urls.withColumns({"one": F.transform("keys", lambda k: hashes(k)[0]), "two": F.transform("keys", lambda k: hashes(k)[1])})
+    state = state.withColumns({x: F.transform("keys", lambda k: F.lit(False)) for x in ("hit", "block")})
+    kinds = f"id {urls.dtypes[0][1]}, host string, path string, keys array<string>, one array<long>, two array<long>, hit array<boolean>, block array<boolean>"
+    for part in range(parts):
+        mine = universe.where(F.pmod("h1", F.lit(parts)) == part)
+        on_list = build_cascade(spark, mine.select("h1", "h2", "listed"), scratch)
+        blocked = build_cascade(spark, mine.where("listed").select("h1", "h2", F.col("block").alias("listed")), scratch)
+        shipped = spark.sparkContext.broadcast((on_list.levels, blocked.levels))
+
+        def look(batches: Iterator[pa.RecordBatch], part: int = part, shipped=shipped) -> Iterator[pa.RecordBatch]:
+            lists = [Cascade(x) for x in shipped.value]
+            for batch in batches:
+                a, b, hit, block = (batch.column(i).flatten().to_numpy(zero_copy_only=False).copy() for i in (4, 5, 6, 7))
+                at = np.flatnonzero(a % parts == part)
+                hit[at] = lists[0].holds(a[at], b[at])
+                at = at[hit[at]]
+                block[at] = lists[1].holds(a[at], b[at])
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.diff(batch.column(3).offsets.to_numpy()))]).astype(np.int32))
+                new = [pa.ListArray.from_arrays(ends, pa.array(x, pa.bool_())) for x in (hit, block)]
+                yield pa.record_batch([*batch.columns[:6], *new], names=batch.schema.names)
+
+        state = state.mapInArrow(lean(look), kinds)
+        if part < parts - 1:  # several cascades are in memory one after another, never together
+            state = scratch.save(state)
+            shipped.destroy()
+    first = F.array_position("hit", F.lit(True)).cast("int")  # keys are in order, longest first
+    rule = F.when(first > 0, F.element_at("keys", F.greatest(first, F.lit(1))))
+    verdict = F.when(first == 0, F.lit(default)).when(F.element_at("block", F.greatest(first, F.lit(1))), F.lit("block")).otherwise(F.lit("allow"))
+    return state.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
 ORACLE = """
