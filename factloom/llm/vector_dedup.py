@@ -7,8 +7,9 @@ the shared-pivot count that makes a pair worth verifying.  Every vector is index
 dealt to pairs of blocks.  A list is verified by matrix products in double precision and returns, for each vector, the
 weight of its links and a local root, never its pairs; a pair that meets in several lists counts in the first.
 
-The number of pivots grows with the root of the number of vectors, so lists stay short, up to ``MOST_PIVOTS``;
-of more pivots a vector has more near ones, since close vectors agree less on which of many are the nearest.
+The number of pivots grows with the root of the number of vectors, so lists stay short, as long as the pivots fit in
+``PIVOT_BYTES``, which are shipped to every task (62,500 of 64 components: some 1.7 thousand million vectors); of more pivots a
+vector has more near ones, since close vectors agree less on which of many are the nearest.
 Recall is a matter of the shared pivots (the tests measure it against brute force); what is linked is always verified.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, lean, maybe_broadcast, spread
 
 NEAR = 5
-MOST_PIVOTS = 1024
+PIVOT_BYTES = 32_000_000
 COSINE = 0.9
 BLOCK = 2048
 
@@ -50,13 +51,18 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def choose_pivots(sample: np.ndarray, most: int) -> np.ndarray:
     """Up to ``most`` rows of ``sample``, in order, leaving out rows close to one chosen before."""
-    chosen: list[int] = []
-    for i in range(len(sample)):
-        if not chosen or (sample[chosen] @ sample[i]).max() < 0.8:
-            chosen.append(i)
-            if len(chosen) == most:
-                break
-    return sample[chosen]
+    chosen, n = np.zeros((min(most, len(sample)), sample.shape[1])), 0
+    for lo in range(0, len(sample), 512):
+        part = sample[lo : lo + 512]
+        far = np.flatnonzero((part @ chosen[:n].T).max(1) < 0.8) if n else np.arange(len(part))
+        begin = n
+        for i in far:
+            if n == begin or (chosen[begin:n] @ part[i]).max() < 0.8:
+                chosen[n] = part[i]
+                n += 1
+                if n == most:
+                    return chosen
+    return chosen[:n]
 
 
 def near_of(pivots: int) -> int:
@@ -66,8 +72,13 @@ def near_of(pivots: int) -> int:
 
 def nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The numbers of each row's nearest pivots, ascending."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, : near_of(len(pivots))]
-    return np.sort(order, axis=1)
+    near = near_of(len(pivots))
+    out = np.empty((len(x), near), np.int64)
+    step = max(1, 4_000_000 // max(1, len(pivots)))
+    for lo in range(0, len(x), step):
+        score = x[lo : lo + step] @ pivots.T
+        out[lo : lo + step] = np.argpartition(-score, near - 1, axis=1)[:, :near] if near < len(pivots) else np.arange(near)
+    return np.sort(out, axis=1)
 
 
 def list_keys(top: np.ndarray, pivots: int) -> np.ndarray:
@@ -125,17 +136,25 @@ def _pairs_of(task: np.ndarray, x: np.ndarray, top: np.ndarray, me: np.ndarray,
 def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id, kept.
 
-    Linked pairs have cosine >= ``cosine``.  A vector that is null, zero, or holds a null or non-finite component links
-    with nothing, and so does one of another length than the commonest (the smaller of equally common ones).  Equal
+    Linked pairs have cosine >= ``cosine``.  A vector that is null, empty, zero, or holds a null or non-finite component links
+    with nothing; vectors of different lengths do not link with each other.  Equal
     vectors are one point with a weight (recognised by a 64-bit hash).  Rows of a repeated id are vectors of their own.  A null id
     gives no component its number; a component of such rows only has a null one, and keeps them.  Other columns are
-    not read.
+    not read.  An empty table gives no rows; a very long vector is one like others.
     """
+    named = spread(vectors).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    lengths = sorted(r["d"] for r in named.where("size(v) > 0").select(F.size("v").alias("d")).distinct().collect())
+    out = named.where("v is null or size(v) = 0").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    for width in lengths:  # vectors of one length at a time: usually there is one
+        of = named.where(F.size("v") == width) if len(lengths) > 1 else named.where("size(v) > 0")
+        out = out.unionByName(_of_length(spark, of, width, cosine, block))
+    return out.withColumnRenamed("id", id_col)
+
+
+def _of_length(spark: SparkSession, named: DataFrame, width: int, cosine: float, block: int) -> DataFrame:
+    """The same for ``named`` (id, v) of one length."""
     scratch = Scratch(spark, "vectors")
-    named = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     kind = named.schema["v"].dataType.simpleString()
-    lengths = named.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    width = lengths[0]["d"] if lengths else 0
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +165,7 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
     points = scratch.save(hashed.mapInArrow(lean(check), f"id {named.dtypes[0][1]}, fp long"))
     classes = scratch.save(points.where("fp is not null").groupBy("fp").agg(F.count("*").alias("weight"), F.min("id").alias("least")))
     n = classes.count()
-    most = int(min(MOST_PIVOTS, max(64, 1.5 * n**0.5)))
+    most = int(min(PIVOT_BYTES // (8 * width), max(64, 1.5 * n**0.5)))
     drawn = hashed.join(F.broadcast(classes.orderBy(F.xxhash64("fp"), "fp").limit(4 * most).select("fp")), "fp", "left_semi").dropDuplicates(["fp"]).orderBy(F.xxhash64("fp"), "fp").select("v").toArrow()
     column = drawn.column("v").combine_chunks()
     if isinstance(column, pa.ChunkedArray):
@@ -165,10 +184,10 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
                 x, ok = _matrix(part.column(1), width)
                 if ok.any():
                     top = nearest(x[ok], pivots)
-                    lists = [(k, pa.array(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32))) for k in (top.astype(np.int16), list_keys(top, len(pivots)))]
+                    lists = [(k, pa.array(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32))) for k in (top.astype(np.int32), list_keys(top, len(pivots)))]
                     yield pa.record_batch({"fp": part.column(0).filter(pa.array(ok)), "v": part.column(1).filter(pa.array(ok)), **{c: pa.ListArray.from_arrays(at, pa.array(k.reshape(-1))) for c, (k, at) in zip(("top", "keys"), lists)}})
 
-    described = scratch.save(hashed.select("fp", "v").mapInArrow(lean(index), f"fp long, v {kind}, top array<short>, keys array<long>").dropDuplicates(["fp"]))
+    described = scratch.save(hashed.select("fp", "v").mapInArrow(lean(index), f"fp long, v {kind}, top array<int>, keys array<long>").dropDuplicates(["fp"]))
     lists = described.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = scratch.save(lists.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
     # a vector travels once for each of its lists that has another vector
@@ -225,4 +244,4 @@ def vector_components(spark: SparkSession, vectors: DataFrame, id_col: str = "ve
     named_roots = scratch.save(near.groupBy("root").agg(F.min("least").alias("component")))
     near = near.join(named_roots, "root").select("fp", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
     out = points.join(near, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNotNull(), F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -225,3 +225,29 @@ def test_close_vectors_meet_in_a_list_at_any_number_of_pivots(pivots, cosine):
     y = cosine * x + (1 - cosine**2) ** 0.5 * unit(r - (r * x).sum(1, keepdims=True) * x)
     a, b = (vector_dedup.list_keys(vector_dedup.nearest(v, made), len(made)) for v in (x, y))
     assert len(made) == pivots and (a[:, :, None] == b[:, None, :]).any((1, 2)).mean() >= 0.97
+
+
+def test_recall_on_many_vectors():
+    """All pairs of 100,000 vectors of cosine 0.9 or more, by brute force, and those that meet in a list."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(25_000, 32))
+    x = np.repeat(centres, 4, axis=0) + rng.normal(size=(100_000, 32)) * np.repeat(rng.uniform(0.1, 0.5, 25_000), 4)[:, None]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = vector_dedup.choose_pivots(x[rng.permutation(len(x))[:4000]], int(1.5 * len(x) ** 0.5))
+    top = vector_dedup.nearest(x, pivots)
+    found = total = 0
+    small = x.astype(np.float32)
+    for lo in range(0, len(x), 2000):
+        i, j = np.nonzero(small[lo : lo + 2000] @ small[lo:].T >= 0.9)
+        i, j = i[j > i] + lo, j[j > i] + lo
+        total += len(i)
+        found += int(((top[i][:, :, None] == top[j][:, None, :]).sum((1, 2)) >= 2).sum())
+    assert total > 50_000 and found >= 0.9 * total, (found, total)
+
+
+@pytest.mark.parametrize("lengths", [(3, 8)])
+def test_vectors_of_several_lengths(spark, lengths):
+    a, b = ([1.0] * n for n in lengths)
+    rows = [(1, a), (2, a), (3, b), (4, [*b[:-1], 1.01]), (5, []), (6, None), (7, [0.0] * 8)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_components(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True), 7: (0, 7, True)}
