@@ -8,10 +8,13 @@ exact dedup decides row by row.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, maybe_broadcast
+from factloom.llm.common import Scratch, maybe_broadcast, shrink_heaps
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.jaccard_join import jaccard_components
 from factloom.llm.language_id import UNKNOWN, identify_languages
@@ -23,6 +26,19 @@ from factloom.llm.sentencepiece_scan import encode_documents
 ROW = "__row_of_stage"  # a number of each row, while a stage runs
 DRAW = 1  # seed of the mixing stage's draws
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _fresh(stage: Stage) -> Stage:
+    """The stage, begun with the executors' heaps as small as they were before the stages ahead of it."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id is in the saved table ``dropped`` (_id); a null there stands for the null ids.
@@ -33,6 +49,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return left if dropped.where("_id is null").isEmpty() else left.where("doc_id is not null")
 
 
+@_fresh
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go (no text, or no letter in it); an id goes if all its rows do.
 
@@ -43,6 +60,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, Scratch(spark, "stage").save(rejected.select("_id")))
 
 
+@_fresh
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts, those whose blocks have the same names, the row of the largest id stays, once."""
     scratch = Scratch(spark, "stage")
@@ -51,6 +69,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(maybe_broadcast(gone, 8), ROW, "left_anti").drop(ROW)
 
 
+@_fresh
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
     found = jaccard_components(spark, docs)
@@ -58,6 +77,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, Scratch(spark, "stage").save(gone))
 
 
+@_fresh
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, 0, 1 or 2 times: what is beyond a whole number is drawn by a hash
     of the id, so that the sources' words keep to their targets, whatever their documents' lengths."""
@@ -71,6 +91,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
 
 
+@_fresh
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' piece ids, with their number and whether decoding gives the text back."""
     return encode_documents(spark, docs, PIECE_MODEL)

@@ -43,6 +43,7 @@ CHUNK = 16_384
 FAN = 64  # matrices that one node of the tree combines
 MARK = "▁"
 TAKEN = "\udc81"  # stands for a U+2581 of the text itself; no text can hold it
+KNOWN = 100_000  # answers about pieces that a worker remembers, some 300 bytes each
 _NONE = -np.inf
 
 
@@ -106,7 +107,7 @@ class Pieces:
         known = self._fits.get((a, b))
         if known is None:
             known = self._fits[a, b] = self.merge(list(a + b)) == [a, b]
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > KNOWN:
                 self._fits.clear()
         return known
 

@@ -110,3 +110,13 @@ def test_query_covers_its_whole_table(spark, name):
         assert out.join(rows, key, "left_anti").isEmpty() and not out.isEmpty()
     else:
         assert sorted(r[0] for r in out.select(key).collect()) == sorted(r[0] for r in rows.select(key).collect())
+
+
+def test_each_stage_begins_with_a_collected_heap(spark, tmp_path):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([], KIND)
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, str(tmp_path))
+        assert full() > before
