@@ -1,15 +1,14 @@
 """Document quality by Bradley-Terry ranking of pairs.
 
 Each document has a utility, linear in features of its whole text; of two documents the better one is preferred with
-probability sigmoid(difference of utilities).  Preference pairs are drawn between labelled good and bad documents of a
-bounded sample and the weights minimise the logistic loss of the feature differences.  A quantile of the utilities, at the share
-of bad rows among all training labels, becomes the threshold; the score is the calibrated sigmoid that is
-``THRESHOLD`` exactly there.
+probability sigmoid(difference of utilities).  Every labelled good document is preferred to every labelled bad one, and the
+weights minimise the logistic loss of all those pairs.  The quantile of all those documents' utilities, at the share of bad
+ones among them, becomes the threshold; the score is the calibrated sigmoid that is ``THRESHOLD`` exactly there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import Scratch, lean, spread
-from .learn import labelled_sample, letter_runs, remainder
+from .common import Scratch, lean, maybe_broadcast, spread
+from .learn import letter_runs, remainder
 
-PER_LABEL = 3000  # labelled rows of each label that pairs are drawn from
-PAIRS = 40_000  # preference pairs
+BINS = 2048  # of the utilities, in which pairs are counted
+COARSE = 64  # of these, for the part of the curvature that mixes the labels
+JOINED = 4  # tasks that add up what the others found
 RIDGE = 1e-3
 THRESHOLD = 0.3
 _HASHED = 64
@@ -106,32 +106,109 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_ranking(x: np.ndarray, good: np.ndarray, population: tuple[int, int], seed: int = 1) -> QualityModel | None:
-    """From features, labels and the numbers of (bad, good) rows that may be learnt from.  None without both labels."""
-    if good.all() or not good.any():
+def _utilities(x: np.ndarray, mean: np.ndarray, spread: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    z = np.where(spread > 1e-9, (x - mean) / np.where(spread > 1e-9, spread, 1), 0)
+    return z, z @ w
+
+
+def _bin(u: np.ndarray, scale: float) -> np.ndarray:
+    """The utilities' bins: all numbers have one, narrow ones are near 0."""
+    return np.minimum(((1 + u / (scale + np.abs(u))) * (BINS / 2)).astype(np.int64), BINS - 1)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fit_all(total: Callable[..., np.ndarray]) -> QualityModel | None:
+    """The maximum over the pairs of every good row with every bad one.  None without both labels.
+
+    ``total(fn)`` is the sum of ``fn(features, good)`` over all pieces of the rows (or another reduction of it).  What a row adds depends on
+    the other label's utilities only, whose bins are counted in a pass of their own; a bin's rows count at its mean.
+    """
+    first = total(lambda x, good: np.concatenate([[(~good).sum(), good.sum()], x.sum(0)]))
+    n = first[:2]
+    if not n.all():
         return None
-    mean, spread = x.mean(0), x.std(0)
-    use = spread > 1e-9
-    z = np.where(use, (x - mean) / np.where(use, spread, 1), 0)
-    rng = np.random.default_rng(seed)
-    a, b = rng.choice(np.flatnonzero(good), PAIRS), rng.choice(np.flatnonzero(~good), PAIRS)
-    d = z[a] - z[b]
-    w = np.zeros(x.shape[1])
+    mean, width = first[2:] / n.sum(), len(first) - 2
+    spread = np.sqrt(total(lambda x, good: ((x - mean) ** 2).sum(0)) / n.sum())
+
+    def moments(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+        z, _ = _utilities(x, mean, spread, np.zeros(width))
+        return np.concatenate([part for k in (~good, good) for part in (z[k].sum(0), (z[k].T @ z[k]).ravel())])
+
+    m = total(moments).reshape(2, -1)
+    centre = m[:, :width] / n[:, None]
+    square = m[:, width:].reshape(2, width, width) / n[:, None, None]
+    both = (square * n[:, None, None]).sum(0) / n.sum()
+    cross = np.outer(centre[1], centre[0])
+    # at zero weights all pairs are even, so that the first step follows from the moments
+    w = np.linalg.solve((square.sum(0) - cross - cross.T) / 4 + RIDGE * np.eye(width), (centre[1] - centre[0]) / 2)
     for _ in range(30):  # Newton steps on the pairwise logistic loss
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / PAIRS + RIDGE * np.eye(len(w)), d.T @ p / PAIRS - RIDGE * w)
-        w += step
+        scale = max(float(np.sqrt(w @ both @ w)), 1e-9)
+
+        def counted(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+            _, u = _utilities(x, mean, spread, w)
+            at = _bin(u, scale) + BINS * good
+            return np.concatenate([np.bincount(at, minlength=2 * BINS), np.bincount(at, u, 2 * BINS)])
+
+        count, sums = total(counted).reshape(2, 2, BINS)
+        grid = np.sort(np.unique((sums / np.maximum(count, 1))[count > 0]))
+        pull, bend = [], []  # for a bad row and for a good one, by its utility: what all rows of the other label give
+        for other, sign in ((1, -1), (0, 1)):
+            have = count[other] > 0
+            p = _sigmoid(sign * (sums[other][have] / count[other][have] - grid[:, None]))
+            pull.append(p @ count[other][have] / n[other])
+            bend.append((p * (1 - p)) @ count[other][have] / n[other])
+
+        def slopes(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+            z, u = _utilities(x, mean, spread, w)
+            coarse = _bin(u, scale) // (BINS // COARSE)
+            out = []
+            for label, k in enumerate((~good, good)):
+                g, h = np.interp(u[k], grid, pull[label]), np.interp(u[k], grid, bend[label])
+                inside = np.zeros((COARSE, width))
+                np.add.at(inside, coarse[k], z[k])
+                out += [g @ z[k], ((z[k] * h[:, None]).T @ z[k]).ravel(), inside.ravel(), np.bincount(coarse[k], u[k], COARSE), np.bincount(coarse[k], minlength=COARSE)]
+            return np.concatenate(out)
+
+        gradient, outer, inside, level = [], [], [], []
+        for label, part in enumerate(total(slopes).reshape(2, -1)):
+            g, h, z, u, c = np.split(part, np.cumsum([width, width * width, COARSE * width, COARSE]))
+            gradient.append(g / n[label])
+            outer.append(h.reshape(width, width) / n[label])
+            inside.append(z.reshape(COARSE, width) / n[label])
+            level.append(u / np.maximum(c, 1))
+        p = _sigmoid(level[1][:, None] - level[0])
+        cross = inside[1].T @ (p * (1 - p)) @ inside[0]  # in coarse bins: it turns the step, not where the steps end
+        step = np.linalg.solve(outer[0] + outer[1] - cross - cross.T + RIDGE * np.eye(width), gradient[1] - gradient[0] - RIDGE * w)
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    utility = z @ w
-    # each label counts as in the population; the threshold is the utilities' quantile at the share of bad rows
-    weight = np.where(good, population[1] / good.sum(), population[0] / (~good).sum())
-    order = np.argsort(utility)
-    reached = np.cumsum(weight[order]) / weight.sum()
-    k = min(int(np.searchsorted(reached, population[0] / sum(population))), len(order) - 2)
-    threshold = (utility[order[k]] + utility[order[k + 1]]) / 2
-    w = np.where(use, w / np.where(use, spread, 1), 0)
-    return QualityModel(w, float(threshold + mean @ w), max(float(utility.std()) / 4, 1e-9))
+    threshold = _quantile(total, lambda x: _utilities(x, mean, spread, w)[1], int(n[0]))
+    scale = np.sqrt(max(w @ both @ w, 0)) / 4
+    raw = np.where(spread > 1e-9, w / np.where(spread > 1e-9, spread, 1), 0)
+    return QualityModel(raw, float(threshold + mean @ raw), max(float(scale), 1e-9))
+
+
+def _quantile(total: Callable[..., np.ndarray], utility: Callable[[np.ndarray], np.ndarray], below: int) -> float:
+    """A number that ``below`` of all rows' utilities are under, or as many as ties allow: bins in bins until an edge is one."""
+    low, high = total(lambda x, good: np.array([utility(x).min(), -utility(x).max()]), np.minimum) * [1, -1]
+    high += max(abs(high), 1) * 1e-9
+    while True:
+        edges = np.linspace(low, high, BINS + 1)
+        under = total(lambda x, good: np.searchsorted(np.sort(utility(x)), edges).astype(float))
+        k = int(np.searchsorted(under, below))
+        if k == 0 or under[k] == below or high - low < 1e-12 * max(abs(high), 1):
+            return float(edges[k])
+        low, high = edges[k - 1], edges[k]
+
+
+def fit_ranking(x: np.ndarray, good: np.ndarray, population: tuple[int, int]) -> QualityModel | None:
+    """``fit_all`` of rows in memory, which are the whole ``population`` (bad, good)."""
+    if population != (int((~good).sum()), int(good.sum())):
+        raise ValueError("the rows are a part of the population")
+    return fit_all(lambda fn, reduce=np.add: np.asarray(fn(x, good), float))
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -144,16 +221,40 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
     scratch = Scratch(spark, "quality")
     named = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where((remainder(F.col("id"), 5) != 0) & F.col("label").isin(0, 1))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    known = scratch.save(known)
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in K.slices(batch.column(1), 1_000_000):
-                yield pa.record_batch({"label": batch.column(0).slice(lo, hi - lo), "x": pa.FixedSizeListArray.from_arrays(pa.array(features(data, off).reshape(-1)), WIDTH).cast(pa.list_(pa.float64()))})
+            good = batch.column(0).to_numpy() == 1
+            for lo, hi, data, off in K.slices(batch.column(1), 400_000):
+                yield pa.record_batch({"good": pa.array([good[lo:hi].tobytes()], pa.binary()), "x": pa.array([features(data, off).tobytes()], pa.binary())})
+
+    # one text of an id, the first in order
+    texts = named.join(maybe_broadcast(known.select("id").distinct(), 24), "id", "left_semi").where("text is not null").groupBy("id").agg(F.min("text").alias("text"))
+    learnt = scratch.save(texts.join(maybe_broadcast(known, 24), "id").select("label", "text").mapInArrow(lean(represent), "good binary, x binary"))
+
+    def total(fn: Callable[[np.ndarray, np.ndarray], np.ndarray], reduce: np.ufunc = np.add) -> np.ndarray:
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                for good, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    part = np.asarray(fn(np.frombuffer(x).reshape(-1, WIDTH), np.frombuffer(good, bool)), float)
+                    out = part if out is None else reduce(out, part)
+            if out is not None:
+                yield pa.record_batch({"part": pa.array([out.tobytes()], pa.binary())})
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                for part in batch.column(0).to_pylist():
+                    out = np.frombuffer(part) if out is None else reduce(out, np.frombuffer(part))
+            if out is not None:
+                yield pa.record_batch({"part": pa.array([out.tobytes()], pa.binary())})
+
+        few = learnt.mapInArrow(lean(pieces), "part binary").repartition(JOINED).mapInArrow(lean(joined), "part binary")
+        return reduce.reduce([np.frombuffer(r["part"]) for r in few.collect()])
 
-    sample = labelled_sample(scratch, named, known, PER_LABEL).orderBy("id", "label").select("label", "text").mapInArrow(lean(represent), "label int, x array<double>").toArrow()
-    x = np.concatenate([c.flatten().to_numpy() for c in sample.column("x").chunks] or [np.zeros(0)]).reshape(-1, WIDTH)
-    model = fit_ranking(x, sample.column("label").to_numpy() == 1, (counts.get(0, 0), counts.get(1, 0))) if len(x) else None
+    model = None if learnt.isEmpty() else fit_all(total)
     shipped = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

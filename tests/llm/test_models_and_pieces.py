@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.language_id import identify_languages
 from factloom.llm.queries import PIECE_MODEL
+from factloom.llm.quality import RIDGE as RANKING_RIDGE
 from factloom.llm.quality import fit_ranking, score_quality
 from factloom.llm.sentencepiece_scan import best_states, compose, encode_documents, encode_giant, mark, pieces_of, product, steps_of, transfer
 from factloom.llm.toxicity import RIDGE, _newton_step, fit_severity, grade_toxicity
@@ -102,6 +103,29 @@ def test_ranking_threshold_is_the_quantile():
     assert fit_ranking(x, np.ones(500, bool), (0, 500)) is None
 
 
+def test_ranking_is_the_best_over_all_pairs():
+    rng = np.random.default_rng(3)
+    good = rng.random(300) < 0.8
+    x = rng.normal(size=(300, 4)) * [1, 5, 0.1, 1] + good[:, None] * [1, 2, 0, 0]
+    model = fit_ranking(x, good, (int((~good).sum()), int(good.sum())))
+    w = model.weights * x.std(0)
+    z = (x - x.mean(0)) / x.std(0)
+    d = (z[good][:, None] - z[~good]).reshape(-1, 4)
+    slope = d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - RANKING_RIDGE * w
+    assert np.abs(slope).max() < 1e-5
+    assert (x @ model.weights < model.threshold).sum() == (~good).sum()
+
+
+def test_every_label_counts(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("ab,!"[rng.randrange(4 if i % 2 else 3)] * rng.randrange(1, 4) for _ in range(12)), i % 2) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in score_quality(spark, docs, docs).collect()}
+    learnt = [i for i in got if remainder(i, 5)]
+    assert sum(i % 2 == 0 for i in learnt) > 3000
+    assert abs(sum(got[i] == 0 for i in learnt) - sum(i % 2 == 0 for i in learnt)) <= 2
+
+
 def toxic_rows():
     rng = random.Random(9)
     calm = [f"word{k}" for k in range(200)]
