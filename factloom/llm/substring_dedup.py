@@ -7,8 +7,12 @@ window (l, c, r): all runs inside [l, r] that hold position c share its token as
 
 1. Signatures that two or more documents show are found by an aggregation of minima; the document of the smallest
    fingerprint becomes the signature's pivot, so a passage of thousands of documents makes a star, not all pairs.
-2. The windows of a document that meet a pivot are joined as intervals: where windows of at least ``ENOUGH`` functions
-   overlap there may be a passage, and the document and those windows' pivots are candidates.
+2. Of common phrases any window meets some pivot, in large tables, so one signature says little; two at one place do.
+   The windows of a document that meet one pivot are joined as intervals: where windows of at least ``ENOUGH`` functions
+   overlap there may be a passage.  Windows of two functions that overlap but met different pivots are a pair of
+   signatures; a pair that two documents show has a pivot of its own, found as in step 1.  Documents that have a run of
+   ``WORDS`` words in common share all signatures there, so one way or the other both have a stretch there.  A document and
+   the pivots of a stretch of such windows are candidates.
 3. Candidates are verified on the tokens themselves (32 bits of each, around the windows): the positions of one document whose token the other one has, gaps
    of up to ``GAP`` closed, make a passage if it has at least ``WORDS`` words and ``SHARE`` of its tokens are common.
 4. Two members can share what their pivot lacks.  So every run of ``WORDS`` words of the candidates' stretches is hashed, and
@@ -37,6 +41,7 @@ WORDS = 50
 GAP = 10
 SHARE = 0.8
 BLOCK = 512
+WINDOWS = 20_000  # so many windows of documents (of one of more) are paired at once
 REMEMBERED = 20_000  # documents that a task remembers in order not to scan a copy again
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SEEDS = K.mix(np.arange(101, 101 + HASHES, dtype=np.uint64))
@@ -190,6 +195,52 @@ def interval_join(left: np.ndarray, right: np.ndarray, which: np.ndarray, pivot:
     return found
 
 
+def window_pairs(owner: np.ndarray, key: np.ndarray, left: np.ndarray, right: np.ndarray, which: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, name, l, r) of the pairs of overlapping windows of two functions that met different pivots.
+
+    Both windows lie in [l, r].  A pair's name depends on the two signatures only.
+    """
+    order = np.lexsort((right, left, owner))
+    owner, key, left, right, which, pivot = (x[order] for x in (owner, key, left, right, which, pivot))
+    found = []
+    first = np.arange(len(owner))
+    for ahead in range(1, len(owner)):
+        first = first[: np.searchsorted(first, len(owner) - ahead)]
+        first = first[(owner[first + ahead] == owner[first]) & (left[first + ahead] <= right[first])]
+        if not len(first):
+            break
+        second = first + ahead
+        ok = (which[first] != which[second]) & (pivot[first] != pivot[second])
+        a, b = first[ok], second[ok]
+        swap = which[a] > which[b]
+        with np.errstate(over="ignore"):
+            name = K.mix(K.mix(key[np.where(swap, b, a)].view(np.uint64)) + key[np.where(swap, a, b)].view(np.uint64)).view(np.int64)
+        found.append((owner[a], name, left[a], np.maximum(right[a], right[b])))
+    if not found:
+        return owner[:0], key[:0], left[:0], right[:0]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def chain(owner: np.ndarray, left: np.ndarray, right: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, pivot, l, r), by document and pivot: the stretches of windows up to ``WORDS`` apart, for each pivot in them."""
+    order = np.lexsort((left, owner))
+    owner, left, right, pivot = (x[order].astype(np.int64) for x in (owner, left, right, pivot))
+    if not len(owner):
+        return owner, pivot, left, right
+    apart = owner * (right.max() + WORDS + 2)  # documents one after another, further apart than windows of one stretch
+    reach = np.maximum.accumulate(right + apart)
+    new = np.ones(len(owner), bool)
+    new[1:] = left[1:] + apart[1:] > reach[:-1] + WORDS
+    begin, stretch = np.flatnonzero(new), np.cumsum(new) - 1
+    end = np.append(begin[1:], len(owner)) - 1
+    order = np.lexsort((stretch, pivot, owner))
+    owner, pivot, stretch = owner[order], pivot[order], stretch[order]
+    new[1:] = (stretch[1:] != stretch[:-1]) | (pivot[1:] != pivot[:-1])
+    new[0] = True
+    owner, pivot, stretch = owner[new], pivot[new], stretch[new]
+    return owner, pivot, left[begin][stretch], (reach - apart)[end][stretch]
+
+
 def run_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of each run of ``length`` tokens: a polynomial in an odd number, shifted to the run's begin."""
     if len(tokens) < length:
@@ -311,19 +362,57 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     keys = scratch.save(keys.where("pivot <> other").select("key", "pivot"))
     met = scratch.save(named.select("text").mapInArrow(lean(windows), "key long, fp long, j byte, l int, r int").join(keys, "key"))
     # all windows of a document that met a pivot: boundedly many, by its text
-    mine = met.groupBy("fp").agg(F.collect_list(F.struct("j", "l", "r", "pivot")).alias("w"))
+    mine = met.groupBy("fp").agg(F.collect_list(F.struct("key", "l", "r", "j", "pivot")).alias("w"))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # (fp, pair, pivot, l, r): windows that one pivot met, without a pair; pairs of windows, without a pivot
         for batch in batches:
-            out: list[dict] = []
-            lists = batch.column(1)
-            for i, fp in enumerate(batch.column(0).to_pylist()):
-                j, left, right, pivot = (lists[i].values.field(k).to_numpy() for k in range(4))
-                for p, spans in interval_join(left, right, j, pivot, enough).items():
-                    out.append({"fp": fp, "pivot": p, "lo": [max(0, x - words) for x, _ in spans], "hi": [y + words + 1 for _, y in spans]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("fp", pa.int64()), ("pivot", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))]))
+            at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            key, left, right, which, pivot = (x.to_numpy() for x in batch.column(1).flatten().flatten())
+            names = batch.column(0).to_numpy()
+            row = 0
+            while row < len(names):  # some documents at a time, so that working arrays stay small
+                end = max(row + 1, int(np.searchsorted(at, at[row] + WINDOWS, "right")) - 1)
+                one = slice(at[row], at[end])
+                owner = np.repeat(np.arange(row, end), np.diff(at[row : end + 1]))
+                k, l, r, j, p = key[one], left[one], right[one], which[one], pivot[one]
+                order = np.lexsort((j, p, owner))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(owner[order]) != 0) | (np.diff(p[order]) != 0)
+                begin = np.flatnonzero(new)
+                kinds = np.add.reduceat(new | np.append(True, np.diff(j[order]) != 0), begin) if len(begin) else begin
+                out: list[tuple[int, int, int, int]] = []
+                for x, y in zip(begin[kinds >= enough].tolist(), np.append(begin[1:], len(order))[kinds >= enough].tolist()):
+                    i = order[x:y]
+                    for q, spans in interval_join(l[i], r[i], j[i], p[i], enough).items():
+                        out += [(int(owner[i[0]]), q, *span) for span in spans]
+                if out:
+                    o, q, a, b = (np.array(x) for x in zip(*out))
+                    yield pa.record_batch({"fp": names[o], "pair": pa.nulls(len(o), pa.int64()), "pivot": q, "l": a.astype(np.int32), "r": b.astype(np.int32)})
+                o, name, a, b = window_pairs(owner, k, l, r, j, p)
+                if len(o):
+                    yield pa.record_batch({"fp": names[o], "pair": name, "pivot": pa.nulls(len(o), pa.int64()), "l": a, "r": b})
+                row = end
+
+    meets = scratch.save(mine.mapInArrow(lean(meetings), "fp long, pair long, pivot long, l int, r int"))
+    apart = meets.where("pair is not null").drop("pivot")
+    both = apart.groupBy("pair").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other"))
+    both = scratch.save(both.where("pivot <> other").select("pair", "pivot"))
+    good = meets.where("pair is null").select("fp", "pivot", "l", "r").unionByName(apart.join(both, "pair").select("fp", "pivot", "l", "r"))
 
-    pairs = scratch.save(mine.mapInArrow(lean(candidates), "fp long, pivot long, lo array<int>, hi array<int>"))
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().to_numpy()
+            left, right, pivot = (x.to_numpy() for x in batch.column(1).flatten().flatten())
+            owner, pivot, left, right = chain(np.repeat(np.arange(len(lengths)), lengths), left, right, pivot)
+            # a pivot may hold more of a stretch than the windows that met it
+            begin = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(pivot) != 0))[: len(owner)])
+            at = pa.array(np.append(begin, len(owner)).astype(np.int32))
+            lo, hi = (pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (np.maximum(left - words, 0), right + words + 1))
+            yield pa.record_batch({"fp": batch.column(0).take(pa.array(owner[begin])), "pivot": pivot[begin], "lo": lo, "hi": hi})
+
+    joined = good.groupBy("fp").agg(F.collect_list(F.struct("l", "r", "pivot")).alias("w"))
+    pairs = scratch.save(joined.mapInArrow(lean(candidates), "fp long, pivot long, lo array<int>, hi array<int>"))
     stars = pairs.where("fp <> pivot").groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     stars = scratch.save(stars)
     members = pairs.where("fp <> pivot").join(maybe_broadcast(stars, 40), "pivot").select("fp", F.col("pivot").alias("star"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("part"), "lo", "hi")

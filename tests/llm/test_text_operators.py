@@ -9,11 +9,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.llm import substring_dedup
 from factloom.llm import textkernel as K
 from factloom.llm.common import Scratch, components
 from factloom.llm.exact_dedup import exact_groups, named_rows
 from factloom.llm.jaccard_join import jaccard_components, link_matrix_parts
-from factloom.llm.substring_dedup import _signatures, _tokens, _verify, compact_windows, interval_join, name_tokens, repeated_passages, run_hashes, shared_runs, sliding_min
+from factloom.llm.substring_dedup import WORDS, _signatures, _tokens, _verify, chain, compact_windows, interval_join, name_tokens, repeated_passages, run_hashes, shared_runs, sliding_min, window_pairs
 
 DOCS = "doc_id long, text string, n_similar string, fp string"
 
@@ -195,6 +196,59 @@ def test_interval_join_needs_enough_functions():
     assert interval_join(left, right, np.array([0, 0, 1]), pivot, 2) == {}
 
 
+def test_pairs_of_windows_and_their_stretches_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 300):
+        owner, key, which, pivot = rng.integers(0, 4, n), rng.integers(0, 9, n), rng.integers(0, 4, n).astype(np.int8), rng.integers(0, 3, n)
+        left = rng.integers(0, 3000, n).astype(np.int32)
+        right = left + rng.integers(0, 90, n).astype(np.int32)
+        rows = list(zip(owner.tolist(), which.tolist(), key.tolist(), left.tolist(), right.tolist(), pivot.tolist()))
+        want = sorted((a[0], a[1:3] + b[1:3], min(a[3], b[3]), max(a[4], b[4])) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[5] != b[5] and a[3] <= b[4] and b[3] <= a[4])
+        # the function is part of the key, as in a signature
+        got = [x.tolist() for x in window_pairs(owner, key * 4 + which, left, right, which, pivot)]
+        assert sorted(zip(got[0], got[2], got[3])) == sorted((o, a, b) for o, _, a, b in want)
+        assert len(set(got[1])) == len({name for _, name, _, _ in want})
+        stretches = []
+        for o in range(4):
+            for a, b, p in sorted((r[3], r[4], r[5]) for r in rows if r[0] == o):
+                if stretches and stretches[-1][0] == o and a <= stretches[-1][2] + WORDS:
+                    stretches[-1][2] = max(stretches[-1][2], b)
+                    stretches[-1][3].add(p)
+                else:
+                    stretches.append([o, a, b, {p}])
+        assert list(zip(*(x.tolist() for x in chain(owner, left, right, pivot)))) == sorted((o, p, a, b) for o, a, b, pivots in stretches for p in pivots)
+
+
+def test_common_phrases_neither_make_candidates_nor_hide_passages(spark, monkeypatch):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    families = [fresh(70) for _ in range(6)]
+    rows = []
+    for k, passage in enumerate(families):
+        other = list(passage)
+        other[35] = "edited"  # no 50 equal words in a row
+        rows += [(2 * k + i, " ".join(fresh(60) + p + fresh(60))) for i, p in enumerate((passage, other))]
+    # every run of five words of theirs, and many others, are in several long documents that share no passage
+    phrases = [p[j : j + 5] for p in families for j in range(66)] + [fresh(5) for _ in range(5000)]
+    for i in range(300):
+        rows.append((1000 + i, " ".join(w for x in rng.sample(phrases, 120) for w in x + fresh(10))))
+    pairs = []
+    save = substring_dedup.Scratch.save
+
+    def watched(self, df):
+        out = save(self, df)
+        if out.columns == ["fp", "pivot", "lo", "hi"]:
+            pairs.append(out.where("fp <> pivot").count())
+        return out
+
+    monkeypatch.setattr(substring_dedup.Scratch, "save", watched)
+    found = {}
+    for r in repeated_passages(spark, frame(spark, rows)).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    assert set(found) == set(range(12)) and all(any(a <= 65 and b >= 125 for a, b in x) for x in found.values()), found
+    assert pairs[0] < 2 * len(rows), pairs
+
+
 @pytest.mark.parametrize("block", [512, 2])
 def test_repeated_passages_are_found_and_others_left(spark, block):
     rng = random.Random(8)
