@@ -15,7 +15,7 @@ from .. import prompts
 from ..config import LoomConfig
 from ..operators.extraction import ask, parse_query
 from ..operators.graph import FactGraph, embed
-from ..operators.retrieval import entity_anchors, rank_chunks, rank_units, retrieval_stats, score_units, seed_union, semantic_anchors, traverse
+from ..operators.retrieval import beyond_named, best_found, found_counts, linked_units, named_entities, rank_chunks, rank_units, score_units, semantic_anchors, traverse
 from ..sources.scratch import Scratch
 
 
@@ -70,13 +70,17 @@ class RetrievePipeline:
 
     def search_vectors(self, scratch: Scratch, queries: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Items and stats of ``queries`` (query_id, query_vector) that mention (query_id, name)."""
-        config = self.config
-        seeds = seed_union(entity_anchors(self.graph, mentions.select("query_id", "name")), semantic_anchors(self.graph, queries, config.anchor_top_k))
-        found = scratch.save(traverse(scratch, self.graph, queries, seeds, config))
-        scored = scratch.save(score_units(self.graph, found, queries, config.min_score_threshold))
-        items = rank_chunks(self.graph, scored, config.result_top_n, config.score_aggregation) if config.group_by_chunk else rank_units(scored, config.result_top_n)
+        config, graph = self.config, self.graph
+        queries, linked = scratch.save(queries), scratch.save(linked_units(graph))
+        named = scratch.save(named_entities(graph, mentions.select("query_id", "name")))
+        seeds = beyond_named(graph, scratch.save(semantic_anchors(graph, queries, config.anchor_top_k)), named)
+        found = scratch.save(traverse(scratch, graph, queries, seeds, config, named, linked))
+        best = scratch.save(best_found(scratch, graph, linked, queries, found, named, config))
+        scored = scratch.save(score_units(graph, best, queries, config.min_score_threshold))
+        items = rank_chunks(graph, scored, config.result_top_n, config.score_aggregation) if config.group_by_chunk else rank_units(scored, config.result_top_n)
         items = scratch.save(items)
-        return items, retrieval_stats(found, scored, items)
+        counts = found_counts(linked, queries, found, named, config.min_score_threshold)
+        return items, counts.join(items.groupBy("query_id").agg(F.count("*").alias("items_returned")), "query_id")
 
     def search(self, query: str) -> SearchResult:
         """The result of one query; without an anchor it is empty."""
