@@ -1,0 +1,71 @@
+"""Text operators in bounded pieces: the same results, and nothing of the size of all occurrences or matches is shuffled."""
+
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from factloom.functions.hashes import hashes, marked, passing
+from factloom.models import HashEmbedding
+from factloom.operators import chunking, linking, vocabulary
+from factloom.sources.scratch import Scratch
+
+TEXTS = ["The Red Hat Linux team and the Red Hat group. A new api-v2.1 of red hat.", "", "Iechä Übel Foo\nBar foo bar Foo Bar. I am", "alpha beta. Alpha BETA alpha beta gamma Red Hat"] * 3
+
+
+def chunks(spark):
+    return spark.createDataFrame([(str(i), i, t) for i, t in enumerate(TEXTS)], "chunk_id string, chunk_ord long, content string")
+
+
+def test_filter_lets_all_known_pass(spark):
+    known = hashes(f"w{i}" for i in range(5000))
+    bits = marked(Scratch(spark).save(spark.createDataFrame([(int(h),) for h in known], "h long"))).value
+    assert passing(bits, known).all() and passing(bits, hashes(f"x{i}" for i in range(5000))).mean() < 0.15
+
+
+def test_lean_counts_are_the_same(spark, monkeypatch):
+    plain, lean = (sorted(map(tuple, vocabulary.vocabulary_terms(chunks(spark), lean=x).collect())) for x in (False, True))
+    assert plain == lean and len(plain) > 20
+
+
+def test_candidates_do_not_depend_on_pieces():
+    def counted(cuts):
+        out = {}
+        for lo, hi in cuts:
+            for terms, n, _, _ in vocabulary._counted(TEXTS[lo:hi], (1, 2, 3), True):
+                for t, k in zip(terms.to_pylist(), n.tolist()):
+                    out[t] = out.get(t, 0) + k
+        return out
+
+    assert counted([(0, 12)]) == counted([(i, i + 1) for i in range(12)]) and counted([(0, 12)])["Red Hat"] == 15
+
+
+def test_matches_are_not_shuffled(spark):
+    """A unit's matches are found and ordered where its text is: no exchange follows."""
+    scratch = Scratch(spark)
+    names = linking.ranked_names(scratch, vocabulary.name_index(vocabulary.terms_as_entities(vocabulary.vocabulary_terms(chunks(spark)))))
+    edges = linking.link_spans(scratch, vocabulary.sentence_units(chunks(spark)), names)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "Exchange" not in plan.split("CoGroups")[0] and edges.count() > 30
+    assert linking.link_spans(scratch, vocabulary.sentence_units(chunks(spark)).where(F.lit(False)), names).count() == 0
+
+
+def test_chunks_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(chunking, "TEXT_AT_ONCE", 100)
+    texts = [f"One {i}. Two {i}. " * 5 for i in range(20)] + [""]
+    given = pa.RecordBatch.from_arrays([pa.array(range(21)), pa.array(map(str, range(21))), pa.array([[("a", str(i))] for i in range(21)], pa.map_(pa.string(), pa.string())), pa.array(texts)], names=["doc_ord", "doc_id", "metadata", "text"])
+    out = list(chunking._cutter(lambda t: chunking.pack_sentences(t, 20, 2))(iter([given])))
+    want = [(i, [("a", str(i))], k, x) for i, t in enumerate(texts) for k, x in enumerate(chunking.pack_sentences(t, 20, 2))]
+    assert len(out) > 10 and [(r["doc_ord"], r["metadata"], r["index"], r["content"]) for b in out for r in b.to_pylist()] == want
+
+
+def test_hash_embedding_is_its_definition():
+    for text in (*TEXTS, "  a  b\n c a "):
+        want = [0.0] * 8
+        for word in re.findall(r"[^ ]+", text.lower()):
+            digest = hashlib.md5(word.encode()).hexdigest()
+            want[int(digest[:8], 16) % 8] += 1 if int(digest[8], 16) < 8 else -1
+        size = sum(x * x for x in want) ** 0.5
+        assert np.array_equal(HashEmbedding(8).embed_text(text), [x / size for x in want] if size else want)
